@@ -19,6 +19,7 @@ STARS = 4
 HEAVY = 64
 LOG2_BITS = 24
 TILE_ROWS = 2048
+GROUP_ROWS = 10_000
 LEAST_BITS, MOST_BITS = 256, 65_536
 CHUNK = 4_000_000
 
@@ -70,7 +71,8 @@ def local_repeats(docs: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(shingles(text, cache, words))
+                parts = text.encode().translate(LOWER).split() if text else []
+                held.append(run_hashes(word_hashes(parts, cache), words))
                 size += len(held[-1])
                 if size >= CHUNK:
                     yield flush()
@@ -150,26 +152,30 @@ def _facts(heavy: np.ndarray, percent: int, words: int):
     return run
 
 
-def _tile(percent: int):
+def _tile_pairs(ids, roots, sizes, own, side, diagonal, sigs, percent):
     """Pairs of a tile's rows that may link: of different parts, sizes near enough, bitmap bound high enough. At least one of a pair is of the tile's own band."""
+    width = min(map(len, sigs))
+    sigs = np.stack([folded(s, width) for s in sigs])
+    for i in np.flatnonzero(own):
+        near = (roots != roots[i]) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent)
+        near &= (~own | (ids > ids[i])) if diagonal else (side != side[i])
+        near = np.flatnonzero(near)
+        if len(near):
+            bound = most_common(int(sizes[i]), sigs[i], sizes[near], sigs[near])
+            for j in near[bound * (100 + percent) >= (sizes[i] + sizes[near]) * percent]:
+                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+
+def _tiles(percent: int):
+    """Candidate pairs of a group of tiles, each pair once."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, roots, sizes = pdf["doc_id"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(np.int64)
-        own, side = pdf["own"].to_numpy(bool), pdf["side"].to_numpy()
-        sigs = [np.frombuffer(s, np.uint64) for s in pdf["sig"]]
-        width = min(map(len, sigs))
-        sigs = np.stack([folded(s, width) for s in sigs])
-        diagonal = bool(pdf["diagonal"].iloc[0])
-        a, b = [], []
-        for i in np.flatnonzero(own):
-            near = (roots != roots[i]) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent)
-            near &= (~own | (ids > ids[i])) if diagonal else (side != side[i])
-            near = np.flatnonzero(near)
-            if len(near):
-                bound = most_common(int(sizes[i]), sigs[i], sizes[near], sigs[near])
-                for j in near[bound * (100 + percent) >= (sizes[i] + sizes[near]) * percent]:
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        pdf = pdf.sort_values(["shingle", "tile", "p", "q"], kind="stable", ignore_index=True)
+        key = pdf[["shingle", "tile", "p", "q"]].to_numpy(np.int64)
+        cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))), len(pdf)) if len(pdf) else [0]
+        columns = [pdf[c].to_numpy() for c in ("doc_id", "root", "n", "own", "side")]
+        diagonal, sigs = pdf["diagonal"].to_numpy(bool), [np.frombuffer(x, np.uint64) for x in pdf["sig"]]
+        pairs = {pair for a, b in zip(cuts, cuts[1:]) if b - a > 1 for pair in _tile_pairs(*(c[a:b] for c in columns), diagonal[a], sigs[a:b], percent)}
+        return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype=np.int64)
 
     return run
 
@@ -206,22 +212,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
 
     def contested(batches):
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(1)
             flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
             row = np.repeat(np.arange(len(batch)), np.diff(offsets))
             mine = np.flatnonzero(in_bitmap(wanted, flat.view(np.uint64)))
-            at = pa.array(row[mine])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(flat[mine])], names=["doc_id", "n", "sig", "shingle"])
-
-    rows = full.select("doc_id", "n", "sig", "prefix").mapInArrow(contested, "doc_id long, n long, sig binary, shingle long").join(open_keys, "shingle").join(nodes, "doc_id")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[mine])), pa.array(flat[mine])], names=["doc_id", "shingle"])
+
+    met = spool(full.select("doc_id", "prefix").mapInArrow(contested, "doc_id long, shingle long").join(open_keys, "shingle").join(reps, "doc_id"))
+    # Near copies share most of a prefix: of shingles that the same documents share one is enough.
+    members = met.groupBy("shingle").agg(F.count("*").alias("rows"), F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("xor"))
+    keep = members.groupBy("rows", "sum", "xor").agg(F.min("shingle").alias("shingle"))
+    known_facts = full.select("doc_id", "n", "sig").join(nodes, "doc_id")
+    rows = met.join(keep.select("shingle"), "shingle", "left_semi").join(known_facts, "doc_id")
     bands = rows.withColumn("band", F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int"))
-    tiles = bands.select("*", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("own")))).alias("t")).select("shingle", "doc_id", "root", "n", "sig", "t.*")
-    tiles = spool(tiles)
+    tiles = spool(bands.select("*", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("own")))).alias("t")).select("shingle", "doc_id", "root", "n", "sig", "t.*"))
     sizes = tiles.groupBy("shingle", "tile").agg(F.count("*").alias("rows"), F.max("own").alias("any"), F.min("root").alias("low"), F.max("root").alias("high")).where("rows > 1 and any and low < high").select("shingle", "tile", F.ceil(F.col("rows") / tile_rows).cast("int").alias("blocks"))
+    groups = max(256, -(-tiles.count() // GROUP_ROWS))
     dealt = tiles.join(sizes, ["shingle", "tile"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("shingle", "tile", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "doc_id", "root", "n", "sig", "own", F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("diagonal"))
-    pairs = met.groupBy("shingle", "tile", "p", "q").applyInPandas(_tile(percent), "a long, b long")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("shingle", "tile", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "doc_id", "root", "n", "sig", "own", F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("diagonal"))
+    pairs = dealt.groupBy(F.pmod(F.xxhash64("shingle", "tile", "p", "q"), F.lit(groups)).alias("group")).applyInPandas(_tiles(percent), "a long, b long")
     more = linked(pairs, docs, percent, words)
 
     roots = components(links.unionByName(more))
