@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +36,13 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 1000):
+    """The batches in parts of at most so many rows: what a task holds as Python objects stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes); holds a bounded number of them."""
 

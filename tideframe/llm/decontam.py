@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideframe.llm.common import slices
+
 ERROR_RATE = 0.06
 BLOCK_CHARS = 4_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -141,7 +143,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, blo
 
         def run(batches, mine=mine, keep=keep, names=tuple(docs.columns), earlier="benchmark_matches" in docs.columns if block else False):
             matcher = Matcher(mine, rate)
-            for batch in batches:
+            for batch in slices(batches):
                 found = [matcher.find(t) if t else [] for t in batch.column(at).to_pylist()]
                 if earlier:
                     found = [a + b for a, b in zip(batch.column(names.index("benchmark_matches")).to_pylist(), found)]

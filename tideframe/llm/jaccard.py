@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import LOWER, WordHashes, bitmap, components, id_hash, in_bitmap, mixed, run_hashes, spool, word_hashes
+from tideframe.llm.common import LOWER, WordHashes, bitmap, components, id_hash, in_bitmap, mixed, run_hashes, slices, spool, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -21,7 +21,7 @@ LOG2_BITS = 24
 TILE_ROWS = 2048
 GROUP_ROWS = 10_000
 LEAST_BITS, MOST_BITS = 256, 65_536
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def shingles(text: str | None, cache: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -36,8 +36,8 @@ def shingles(text: str | None, cache: WordHashes, words: int = WORDS) -> np.ndar
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of at least twice as many bits as there are shingles (a power of two, at most MOST_BITS)."""
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()))
+    """A bitmap of at least as many bits as there are shingles (a power of two, at most MOST_BITS)."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -69,7 +69,7 @@ def local_repeats(docs: DataFrame, words: int) -> DataFrame:
             value, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(value[n > 2].view(np.int64)), pa.array(n[n > 2])], names=["shingle", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 parts = text.encode().translate(LOWER).split() if text else []
                 held.append(run_hashes(word_hashes(parts, cache), words))
@@ -90,7 +90,7 @@ def sets_of(docs: DataFrame, ids: np.ndarray, words: int) -> DataFrame:
     """(doc_id, n, sig, shingles) of the documents whose id is in a bitmap."""
     def run(batches):
         cache = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             mine = np.flatnonzero(in_bitmap(ids, batch.column(1).to_numpy().view(np.uint64)))
             if len(mine):
                 part = batch.take(pa.array(mine))
@@ -112,7 +112,7 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int
     both = pairs.join(named("a"), F.col("a") == F.col("doc_id_a")).join(named("b"), F.col("b") == F.col("doc_id_b"))
 
     def check(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             a, b, sa, sb, xa, xb = (batch.column(i) for i in range(6))
             for i in range(len(batch)):
@@ -136,7 +136,7 @@ def _facts(heavy: np.ndarray, percent: int, words: int):
 
     def run(batches):
         cache = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             out = [[] for _ in range(5)]
             for text in batch.column(1).to_pylist():
                 s = shingles(text, cache, words)
@@ -221,16 +221,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     met = spool(full.select("doc_id", "prefix").mapInArrow(contested, "doc_id long, shingle long").join(open_keys, "shingle").join(reps, "doc_id"))
     # Near copies share most of a prefix: of shingles that the same documents share one is enough.
     members = met.groupBy("shingle").agg(F.count("*").alias("rows"), F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("xor"))
-    keep = members.groupBy("rows", "sum", "xor").agg(F.min("shingle").alias("shingle"))
-    known_facts = full.select("doc_id", "n", "sig").join(nodes, "doc_id")
-    rows = met.join(keep.select("shingle"), "shingle", "left_semi").join(known_facts, "doc_id")
-    bands = rows.withColumn("band", F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int"))
-    tiles = spool(bands.select("*", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("own")))).alias("t")).select("shingle", "doc_id", "root", "n", "sig", "t.*"))
-    sizes = tiles.groupBy("shingle", "tile").agg(F.count("*").alias("rows"), F.max("own").alias("any"), F.min("root").alias("low"), F.max("root").alias("high")).where("rows > 1 and any and low < high").select("shingle", "tile", F.ceil(F.col("rows") / tile_rows).cast("int").alias("blocks"))
-    groups = max(256, -(-tiles.count() // GROUP_ROWS))
-    dealt = tiles.join(sizes, ["shingle", "tile"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("shingle", "tile", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "doc_id", "root", "n", "sig", "own", F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("diagonal"))
+    keep = members.groupBy("rows", "sum", "xor").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("rows") / tile_rows).cast("int").alias("blocks"))
+    rows = met.join(keep, "shingle").join(full.select("doc_id", "n", "sig").join(nodes, "doc_id"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # A tile is the documents with one shingle; where they are many, those of one size band and the next smaller one, in blocks.
+    band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+    banded = F.array(F.struct(band.alias("tile"), F.lit(True).alias("own")), F.struct((band + 1).alias("tile"), F.lit(False).alias("own")))
+    whole = F.array(F.struct(F.lit(-1).alias("tile"), F.lit(True).alias("own")))
+    dealt = rows.withColumn("t", F.explode(F.when(F.col("blocks") > 1, banded).otherwise(whole))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("shingle", "t.tile", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "doc_id", "root", "n", "sig", "t.own", F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("diagonal"))
+    groups = max(256, -(-met.count() // GROUP_ROWS))
     pairs = dealt.groupBy(F.pmod(F.xxhash64("shingle", "tile", "p", "q"), F.lit(groups)).alias("group")).applyInPandas(_tiles(percent), "a long, b long")
     more = linked(pairs, docs, percent, words)
 

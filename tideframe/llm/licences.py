@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import WordHashes, run_hashes, word_hashes
+from tideframe.llm.common import WordHashes, run_hashes, slices, word_hashes
 
 # Notices and license texts, as their publishers word them.
 TEMPLATES = {
@@ -126,7 +126,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
 
     def run(batches):
         scanner = Scanner(templates, coverage)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(d, x["license"], x["coverage"], x["start"], x["end"]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for x in scanner.find(t)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 

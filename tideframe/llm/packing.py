@@ -13,6 +13,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideframe.llm.common import slices
+
 LENGTH = 2048
 GROUP_DOCS = 2048
 END = 1
@@ -75,7 +77,7 @@ def token_pieces(docs: DataFrame, length: int = LENGTH, ranks: str | None = None
 
     def run(batches):
         encoder = Encoder(ranks)
-        for batch in batches:
+        for batch in slices(batches):
             out = [[] for _ in range(7)]
             for doc_id, text, group, place in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 ids = np.append(encoder.encode(text or ""), np.uint32(END)).astype("<u4")

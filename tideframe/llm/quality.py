@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideframe.llm.common import slices
 from tideframe.llm.labelled import SAMPLE_CHARS, SAMPLE_ROWS, fold, labelled_sample
 
 DICTIONARY_BYTES = 112_640
@@ -98,7 +99,7 @@ class QualityModel:
 
         def score(batches):
             sizes = Compressors(model.good, model.bad)
-            for batch in batches:
+            for batch in slices(batches):
                 x = np.array([sizes.features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, 3)
                 p = 1 / (1 + np.exp(-np.clip(terms(x) @ model.weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(p)], names=names)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import WordHashes, bitmap, in_bitmap, run_hashes, spool, word_hashes
+from tideframe.llm.common import WordHashes, bitmap, in_bitmap, run_hashes, slices, spool, word_hashes
 
 WINDOW = 35
 RUN = 16
@@ -34,7 +34,7 @@ def anchors_of(h: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.nda
 def _anchor_counts(window: int, run: int):
     def count(batches):
         cache = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             values, times = [], []
             for text in batch.column(0).to_pylist():
                 words = text.encode().split() if text else ()
@@ -77,7 +77,7 @@ def _suffixes(bits: np.ndarray, rounds: int, turn: int, window: int, run: int, g
 
     def deal(batches):
         cache, held, size = WordHashes(), ([], [], [], []), 0
-        for batch in batches:
+        for batch in slices(batches):
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = text.encode().split() if text else ()
                 if len(words) < window:
@@ -152,7 +152,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
     runs = repeated_runs(rows.select("row", "text"), window, run).groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [[], [], [], []]
             for text, mine in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = text.encode().split() if text else []

@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import spool
+from tideframe.llm.common import slices, spool
 from tideframe.llm.labelled import SAMPLE_CHARS, SAMPLE_ROWS, fold, labelled_sample
 
 # Insults that seed the lexicon, and words of the second person.
@@ -112,7 +112,7 @@ def featured(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     schema = f"{', '.join(f'`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}' for i in keep)}, x array<double>"
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = [features(t or "", lexicon) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(x, pa.list_(pa.float64()))], names=names)
 
