@@ -36,6 +36,13 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of fewer rows than Spark's default of 10,000, which would take too much memory beside the heap; a setting of the user's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
 def slices(batches, rows: int = 1000):
     """The batches in parts of at most so many rows: what a task holds as Python objects stays small."""
     for batch in batches:

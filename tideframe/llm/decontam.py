@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import slices
+from tideframe.llm.common import slices, small_batches
 
 ERROR_RATE = 0.06
 BLOCK_CHARS = 4_000_000
@@ -133,6 +133,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, blo
     Items go to the tasks in blocks of at most about block_chars characters, whose size is summed beforehand; a longer benchmark takes more passes.
     Null and empty texts have no match; null and empty items, and those without a letter or digit, are in no text; repeated rows and items each count. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     at = docs.columns.index("text")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import LOWER, WordHashes, bitmap, components, id_hash, in_bitmap, mixed, run_hashes, slices, spool, word_hashes
+from tideframe.llm.common import LOWER, WordHashes, bitmap, components, id_hash, in_bitmap, mixed, run_hashes, slices, small_batches, spool, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -192,6 +192,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     Null and empty texts, and those of white space only, have an empty set, linked with nothing; repeated rows are each returned; rows that share a doc_id are one node with
     the links of each; a null doc_id is linked with nothing. Only doc_id and text are read. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = local_repeats(docs, words).groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= heavy).select("shingle")
     facts = spool(docs.mapInArrow(_facts(bitmap(common, "shingle", LOG2_BITS), percent, words), "doc_id long, n long, digest binary, stars array<long>, prefix array<long>, sig binary"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import WordHashes, run_hashes, slices, word_hashes
+from tideframe.llm.common import WordHashes, run_hashes, slices, small_batches, word_hashes
 
 # Notices and license texts, as their publishers word them.
 TEMPLATES = {
@@ -121,6 +121,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     8 words of that diagonal matches at least `coverage` of its words. Spans are code points of the text in lower case, end exclusive. Templates come from
     the caller (a short list) and go to each task. Null and empty texts have none; repeated rows each give theirs; an empty table, or no template, gives no rows.
     """
+    small_batches(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("span_start", pa.int64()), ("span_end", pa.int64())])
 

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import slices
+from tideframe.llm.common import slices, small_batches
 
 LENGTH = 2048
 GROUP_DOCS = 2048
@@ -73,6 +73,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def token_pieces(docs: DataFrame, length: int = LENGTH, ranks: str | None = None) -> DataFrame:
     """Each document's ids (and the end id) cut into pieces of at most `length`: no ids are shuffled, only where they are and their checksum."""
+    small_batches(docs.sparkSession)
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches):

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import slices
+from tideframe.llm.common import slices, small_batches
 from tideframe.llm.labelled import SAMPLE_CHARS, SAMPLE_ROWS, fold, labelled_sample
 
 DICTIONARY_BYTES = 112_640
@@ -93,6 +93,7 @@ class QualityModel:
 
     def scored(self, docs: DataFrame) -> DataFrame:
         """docs with a column `score`; a null text counts as empty."""
+        small_batches(docs.sparkSession)
         schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema if f.name != 'score')}, score double"
         at, keep, model = docs.columns.index("text"), [i for i, c in enumerate(docs.columns) if c != "score"], self
         names = [docs.columns[i] for i in keep] + ["score"]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import WordHashes, bitmap, in_bitmap, run_hashes, slices, spool, word_hashes
+from tideframe.llm.common import WordHashes, bitmap, in_bitmap, run_hashes, slices, small_batches, spool, word_hashes
 
 WINDOW = 35
 RUN = 16
@@ -127,6 +127,7 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW, run: int = RUN, log2_b
     occur twice matter; which they are goes to the tasks as a bitmap of fixed size, in as many rounds as it needs to stay sparse.
     A group holds the windows of about `group_runs` shared runs; a window that a chunk of rows holds many times is sent once, so no passage, however common, fills a group.
     """
+    small_batches(texts.sparkSession)
     counts = texts.select("text").mapInArrow(_anchor_counts(window, run), "anchor long, n byte")
     shared = spool(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     many = shared.count()

@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import slices, spool
+from tideframe.llm.common import slices, small_batches, spool
 from tideframe.llm.labelled import SAMPLE_CHARS, SAMPLE_ROWS, fold, labelled_sample
 
 # Insults that seed the lexicon, and words of the second person.
@@ -106,6 +106,7 @@ _SEEDS = frozenset(INSULTS)
 
 def featured(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """docs with a column `features`, a vector; a null text counts as empty."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     keep = [i for i, c in enumerate(docs.columns) if c != "text"]
     names = [docs.columns[i] for i in keep] + ["x"]
