@@ -37,7 +37,7 @@ def shingles(text: str | None, cache: WordHashes, words: int = WORDS) -> np.ndar
 
 def signature(s: np.ndarray) -> bytes:
     """A bitmap of at least as many bits as there are shingles (a power of two, at most MOST_BITS)."""
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << (len(s) - 1).bit_length()))
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (1 * len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
