@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideframe.llm.common import spool
+
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 STRIP_ROWS = 128
@@ -95,13 +97,9 @@ _BLOCK_DDL = "dim int, ids binary, matrix binary"
 
 
 def numbered(blocks: DataFrame, name: str) -> DataFrame:
-    """Blocks with a dense number: their partition's first number plus the place in it."""
-    from tideframe.llm.common import spool
-
+    """Blocks with a dense number, by the order of their digests: one row per block of thousands of vectors is sorted in one task, never the vectors."""
     blocks = spool(blocks)
     order = blocks.select(F.xxhash64("ids", "matrix").alias("digest")).distinct()
-    from pyspark.sql import Window
-
     return blocks.withColumn("digest", F.xxhash64("ids", "matrix")).join(order.withColumn(name, F.row_number().over(Window.orderBy("digest")).cast("long") - 1), "digest").drop("digest")
 
 
