@@ -36,8 +36,8 @@ def shingles(text: str | None, cache: WordHashes, words: int = WORDS) -> np.ndar
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of at least as many bits as there are shingles (a power of two, at most MOST_BITS)."""
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << (1 * len(s) - 1).bit_length()))
+    """A bitmap of at least twice as many bits as there are shingles (a power of two, at most MOST_BITS)."""
+    width = min(MOST_BITS, max(LEAST_BITS, 2 << (len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -83,51 +83,61 @@ def local_repeats(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "shingle long, n long")
 
 
-_SETS = "doc_id long, n int, sig binary, shingles binary"
+def packed(s: np.ndarray) -> bytes:
+    """A set for the shuffle: the leading 48 bits of each sorted hash, 16 of them and then 32."""
+    return (s >> np.uint64(48)).astype("<u2").tobytes() + ((s >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n = len(blob) // 6
+    return np.frombuffer(blob, "<u2", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(blob, "<u4", n, 2 * n).astype(np.uint64)
 
 
 def sets_of(docs: DataFrame, ids: np.ndarray, words: int) -> DataFrame:
-    """(doc_id, n, sig, shingles) of the documents whose id is in a bitmap."""
+    """(doc_id, shingles) of the documents whose id is in a bitmap."""
     def run(batches):
         cache = WordHashes()
         for batch in slices(batches):
             mine = np.flatnonzero(in_bitmap(ids, batch.column(1).to_numpy().view(np.uint64)))
             if len(mine):
                 part = batch.take(pa.array(mine))
-                sets = [shingles(t, cache, words) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "sig", "shingles"])
+                sets = [packed(shingles(t, cache, words)) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.where("doc_id is not null").select("doc_id", id_hash("doc_id").alias("place"), "text").mapInArrow(run, _SETS)
+    return docs.where("doc_id is not null").select("doc_id", id_hash("doc_id").alias("place"), "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Those of the pairs (a, b) of ids whose similarity reaches percent: bitmap bound first, then exact intersection.
 
-    Only documents in a pair are read as sets; which they are goes to the tasks as a bitmap of fixed size (what it lets through besides, the join drops).
+    Only documents in a pair are read as sets; which they are goes to the tasks as bitmaps of fixed size (what they let through besides, the join drops).
+    Sets travel as 48-bit hashes: two different shingles of a pair of 1,000 words each look the same once in 10**8 pairs.
     """
     pairs = spool(pairs.distinct())
-    ids = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(id_hash("id").alias("place")), "place", LOG2_BITS)
-    sets = sets_of(docs, ids, words)
-    named = lambda k: sets.select(*(F.col(c).alias(f"{c}_{k}") for c in sets.columns))
-    both = pairs.join(named("a"), F.col("a") == F.col("doc_id_a")).join(named("b"), F.col("b") == F.col("doc_id_b"))
+    both = pairs
+    for k in ("b", "a"):
+        ids = bitmap(pairs.select(F.col(k).alias("id")).distinct().select(id_hash("id").alias("place")), "place", LOG2_BITS)
+        both = both.join(sets_of(docs, ids, words).withColumnsRenamed({"doc_id": f"doc_id_{k}", "shingles": f"shingles_{k}"}), F.col(k) == F.col(f"doc_id_{k}"))
 
     def check(batches):
         for batch in slices(batches):
             keep = []
-            a, b, sa, sb, xa, xb = (batch.column(i) for i in range(6))
+            a, b, xa, xb = (batch.column(i) for i in range(4))
             for i in range(len(batch)):
-                p, q = np.frombuffer(xa[i].as_py(), np.uint64), np.frombuffer(xb[i].as_py(), np.uint64)
+                p, q = unpacked(xa[i].as_py()), unpacked(xb[i].as_py())
                 least = (len(p) + len(q)) * percent
-                u, v = np.frombuffer(sa[i].as_py(), np.uint64), np.frombuffer(sb[i].as_py(), np.uint64)
+                if not len(p) or not len(q):
+                    continue
+                u, v = (np.frombuffer(signature(x), np.uint64) for x in (p, q))
                 width = min(len(u), len(v))
-                if not width or int(most_common(len(p), folded(u, width), len(q), folded(v, width))) * (100 + percent) < least:
+                if int(most_common(len(p), folded(u, width), len(q), folded(v, width))) * (100 + percent) < least:
                     continue
                 common = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
                 if common * (100 + percent) >= least:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    return both.select("a", "b", "sig_a", "sig_b", "shingles_a", "shingles_b").mapInArrow(check, "a long, b long").distinct()
+    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(check, "a long, b long").distinct()
 
 
 def _facts(heavy: np.ndarray, percent: int, words: int):
@@ -154,14 +164,18 @@ def _facts(heavy: np.ndarray, percent: int, words: int):
 
 def _tile_pairs(ids, roots, sizes, own, side, diagonal, sigs, percent):
     """Pairs of a tile's rows that may link: of different parts, sizes near enough, bitmap bound high enough. At least one of a pair is of the tile's own band."""
-    width = min(map(len, sigs))
-    sigs = np.stack([folded(s, width) for s in sigs])
+    widths = np.array([len(s) for s in sigs])
+    at_width: dict[int, np.ndarray] = {}
     for i in np.flatnonzero(own):
         near = (roots != roots[i]) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent)
         near &= (~own | (ids > ids[i])) if diagonal else (side != side[i])
         near = np.flatnonzero(near)
         if len(near):
-            bound = most_common(int(sizes[i]), sigs[i], sizes[near], sigs[near])
+            # Rows of like size have like widths: folded no further than that, a bitmap does not fill up.
+            width = min(widths[i], widths[near].min())
+            if width not in at_width:
+                at_width[width] = np.stack([folded(s, width) if len(s) >= width else np.zeros(width, np.uint64) for s in sigs])
+            bound = most_common(int(sizes[i]), at_width[width][i], sizes[near], at_width[width][near])
             for j in near[bound * (100 + percent) >= (sizes[i] + sizes[near]) * percent]:
                 yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
@@ -203,7 +217,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     keyed = full.select("doc_id", "n", F.explode("stars").alias("star")).join(reps, "doc_id", "left_semi")
     lead = keyed.groupBy("star").agg(F.min(F.struct("doc_id", "n")).alias("lead"))
     near = keyed.join(lead, "star").where("lead.doc_id < doc_id").where(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent)
-    links = spool(linked(near.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")), docs, percent, words))
+    # Of a document's leads the one that shares most stars is most like it; what this leaves apart the prefixes find.
+    best = near.groupBy(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("stars")).groupBy("b").agg(F.max_by("a", F.struct("stars", -F.col("a"))).alias("a"))
+    links = spool(linked(best.select("a", "b"), docs, percent, words))
     known = components(links)
 
     nodes = reps.join(known, reps["doc_id"] == known["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
