@@ -40,13 +40,13 @@ def log_rows(collection: Collection, values: dict[str, Any], ts: str, seq: int,
 
 
 def fold(log: DataFrame, collection: Collection) -> DataFrame:
-    """The last write of each field of each row: (id, one struct (ts, seq, value) per field, null where it was never written).
+    """The last write of each field of each row: (key, one struct (ts, seq, value) per field, null where it was never written).
 
     One aggregation by id with partial maxima; the order of the log, and repeated log rows, do not matter. A write without ts is older than any with one.
     """
     cell = F.struct(F.coalesce("ts", F.lit("")).alias("ts"), F.col("seq"), F.col("value"))
     mine = log.where((F.col("resource") == collection.name) & F.col("field").isin(list(collection.fields)))
-    return mine.groupBy("id").agg(*(F.max(F.when(F.col("field") == n, cell)).alias(n) for n in collection.fields))
+    return mine.groupBy(F.col("id").alias("key")).agg(*(F.max(F.when(F.col("field") == n, cell)).alias(n) for n in collection.fields))
 
 
 def converted(value: Column, kind) -> Column:
@@ -59,14 +59,14 @@ def overlaid(base: DataFrame, log: DataFrame, collection: Collection) -> DataFra
 
     Rows that only the log has get the defaults of fields that were not written.
     """
-    folded = fold(log, collection).select(F.col("id").alias("__id"), *(F.col(n).alias(f"__{n}") for n in collection.fields))
+    folded = fold(log, collection).select(F.col("key").alias("__key"), *(F.col(n).alias(f"__{n}") for n in collection.fields))
     pk_type = collection.fields[collection.pk].spark_type
-    folded = folded.withColumn("__id", converted(F.col("__id"), pk_type)).where("__id is not null")
-    both = base.select(*collection.fields, F.lit(True).alias("__base")).join(folded, F.col(collection.pk) == F.col("__id"), "full")
+    folded = folded.withColumn("__key", converted(F.col("__key"), pk_type)).where("__key is not null")
+    both = base.select(*collection.fields, F.lit(True).alias("__base")).join(folded, F.col(collection.pk) == F.col("__key"), "full")
     out = []
     for n, f in collection.fields.items():
         if n == collection.pk:
-            out.append(F.coalesce(F.col(n), F.col("__id")).alias(n))
+            out.append(F.coalesce(F.col(n), F.col("__key")).alias(n))
             continue
         old = F.when(F.col("__base"), F.col(n)).otherwise(F.lit(f.default).cast(f.spark_type)) if f.default is not None else F.col(n)
         out.append(F.when(F.col(f"__{n}").isNotNull(), converted(F.col(f"__{n}.value"), f.spark_type)).otherwise(old).alias(n))
@@ -74,8 +74,8 @@ def overlaid(base: DataFrame, log: DataFrame, collection: Collection) -> DataFra
 
 
 def write_times(log: DataFrame, collection: Collection) -> DataFrame:
-    """When each field of each row was last written: (id, a string per field)."""
-    return fold(log, collection).select("id", *(F.col(f"{n}.ts").alias(n) for n in collection.fields))
+    """When each field of each row was last written: (key, a string per field)."""
+    return fold(log, collection).select("key", *(F.col(f"{n}.ts").alias(n) for n in collection.fields))
 
 
 def accepted(log: DataFrame, incoming: DataFrame) -> DataFrame:
