@@ -1,0 +1,52 @@
+"""The pipeline's stages on a small corpus, each against what its operator says of the stage's input."""
+
+import os
+
+import pytest
+
+import corpus_pipeline as pipeline
+from tideframe.llm.decontam import matched
+from tideframe.llm.jaccard import near_duplicates
+from tideframe.llm.secrets import scan
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test data")
+    docs, out = spark.read.parquet(f"{FOLDER}/documents.parquet"), []
+    for name, stage in pipeline.STAGES:
+        before, docs = docs, pipeline.spool(stage(spark, docs, FOLDER))
+        out.append((name, before, docs))
+    return out
+
+
+def test_stages(spark, stages):
+    for name, before, after in stages[:-1]:
+        assert tuple(after.columns) == pipeline.COLUMNS
+        assert after.select("doc_id").subtract(before.select("doc_id")).count() == 0
+    (_, _, good), (_, one, distinct), (_, mixed, clean), (_, secret, safe), (_, last, packed) = stages
+    component = near_duplicates(one).where("component_id = doc_id").select("doc_id")
+    assert {r[0] for r in component.collect()} == {r[0] for r in distinct.select("doc_id").collect()}
+    benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    assert matched(clean, benchmark).where("size(benchmark_matches) > 0").count() == 0
+    assert clean.count() == matched(mixed, benchmark).where("size(benchmark_matches) = 0").count()
+    assert secret.count() == safe.count() and scan(safe).where("exists(secret_spans, s -> s.kind in ('access', 'hex'))").count() == 0
+    assert safe.where("n_chars <> length(text)").count() == 0
+    assert packed.select("doc_id").distinct().count() == last.count()
+
+
+def test_run_equals_its_stages(spark, stages):
+    key = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    assert sorted(map(tuple, pipeline.run(spark, FOLDER).select(*key).collect())) == sorted(map(tuple, stages[-1][2].select(*key).collect()))
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("false")
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.count() == 0
+        if "text" not in docs.columns:
+            break
