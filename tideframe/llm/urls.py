@@ -21,6 +21,7 @@ ORDINARY = "www blog news home page article articles post posts about help docs
 
 MAX_WORDS = 50_000
 LONGEST = 24
+LEAST_HOSTS = 3
 
 
 def host_path(url: str | Column) -> tuple[Column, Column]:
@@ -85,11 +86,12 @@ def model_words(segmenter: Segmenter, host: str, path: str) -> list[str]:
 
 
 def unigrams(urls: DataFrame, max_words: int = MAX_WORDS) -> dict[str, float]:
-    """Counts of delimited words over all distinct hosts and all paths, the most frequent max_words of them (the model's size bound), with the seed words added."""
-    hosts = urls.select(F.regexp_replace("host", r"\.[^.]*$", "").alias("t")).distinct()
-    texts = hosts.unionAll(urls.select(F.lower("path").alias("t")))
-    words = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"), 1)).alias("w")).where(F.length("w") <= LONGEST)
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(max_words).toPandas()
+    """Counts of words, the most frequent max_words of them (the model's size bound), with the seed words added: delimited words of all paths, and host labels that
+    several hosts have; a name that only one host has may be words run together, and must not count as a word."""
+    split = lambda df, c: df.select(F.explode(F.regexp_extract_all(c, F.lit(r"(\p{L}+)"), 1)).alias("w")).where(F.length("w") <= LONGEST).groupBy("w").count()
+    hosts = split(urls.select("host").distinct(), F.regexp_replace("host", r"\.[^.]*$", "")).where(F.col("count") >= LEAST_HOSTS)
+    words = split(urls, F.lower("path")).unionByName(hosts).groupBy("w").agg(F.sum("count").alias("count"))
+    top = words.orderBy(F.desc("count"), "w").limit(max_words).toPandas()
     counts = {w: float(c) for w, c in zip(top["w"], top["count"])}
     floor = max(50.0, sum(counts.values()) / 500)
     for w in (*UNWANTED, *ORDINARY):
