@@ -223,8 +223,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     known = components(links)
 
     nodes = reps.join(known, reps["doc_id"] == known["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
-    entries = full.select("doc_id", "prefix").join(nodes, "doc_id").select("root", F.explode("prefix").alias("shingle"))
-    open_keys = spool(entries.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle"))
+    # Which prefix shingles different sets share is told without moving a prefix: only their hashes and extremes of the sets' digests are summed.
+    entries = full.select(F.xxhash64("digest").alias("class"), F.explode("prefix").alias("shingle"))
+    open_keys = spool(entries.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle"))
     wanted = bitmap(open_keys, "shingle", LOG2_BITS)
 
     def contested(batches):
@@ -235,11 +236,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
             mine = np.flatnonzero(in_bitmap(wanted, flat.view(np.uint64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[mine])), pa.array(flat[mine])], names=["doc_id", "shingle"])
 
-    met = spool(full.select("doc_id", "prefix").mapInArrow(contested, "doc_id long, shingle long").join(open_keys, "shingle").join(reps, "doc_id"))
+    shared = spool(full.select("doc_id", "prefix").mapInArrow(contested, "doc_id long, shingle long").join(open_keys, "shingle").join(nodes, "doc_id").select("doc_id", "shingle", "root"))
+    apart = shared.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    met = spool(shared.join(apart, "shingle"))
     # Near copies share most of a prefix: of shingles that the same documents share one is enough.
     members = met.groupBy("shingle").agg(F.count("*").alias("rows"), F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("xor"))
     keep = members.groupBy("rows", "sum", "xor").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("rows") / tile_rows).cast("int").alias("blocks"))
-    rows = met.join(keep, "shingle").join(full.select("doc_id", "n", "sig").join(nodes, "doc_id"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = met.join(keep, "shingle").join(full.select("doc_id", "n", "sig"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A tile is the documents with one shingle; where they are many, those of one size band and the next smaller one, in blocks.
     band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
     banded = F.array(F.struct(band.alias("tile"), F.lit(True).alias("own")), F.struct((band + 1).alias("tile"), F.lit(False).alias("own")))
@@ -253,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     roots = components(links.unionByName(more))
     classes = firsts.join(roots, firsts["first"] == roots["node"], "left").select("digest", F.coalesce("root", "first").alias("component_id"))
     twins = facts.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
-    return twins.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return twins.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
