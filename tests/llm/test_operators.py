@@ -116,7 +116,7 @@ def test_urls(spark):
         "": ("", "", None, "allow"),
         "http://cheapcasinobonus.biz/poker": ("cheapcasinobonus.biz", "/poker", None, "block"),
     }
-    rows = [(n, u, "h", "v") for n, u in enumerate(cases)] + [(n + 20, f"http://news{n}.info/article/city", "h", "v") for n in range(30)]
+    rows = [(n, u, "h", "v") for n, u in enumerate(cases)] + [(n + 20, f"http://news{n}.info/article/city", "h", "v") for n in range(300)]
     got = {r["page_id"]: r for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")).collect()}
     for n, want in enumerate(cases.values()):
         assert (got[n]["host"], got[n]["path"], got[n]["rule"], got[n]["verdict"]) == want
