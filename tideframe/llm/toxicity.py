@@ -24,6 +24,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vou
 
 LEXICON_ENTRIES = 600
 PREFIXES = (5, 6, 7, 8)
+CACHED_TOKENS = 200_000
 _WORD = re.compile(r"\S+")
 _TRIM = re.compile(r"^\W+|\W+$")
 _PLAIN = str.maketrans("013457@$!|", "oieastasil")
@@ -64,43 +65,66 @@ def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES) -> dict[str
     return {f: float(o) for f, o in zip(top["form"], top["odds"])}
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    raw = _WORD.findall(text)
-    n = len(raw) or 1
-    hits, seed, stems, plain, weight, strange, caps, second = [], 0, 0, 0, 0.0, 0, 0, []
-    for i, token in enumerate(raw):
+class TokenFacts(dict):
+    """What one token adds to the features: None, or (capitals, second person, seed, strange, plain, stem, weight); holds a bounded number of tokens."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, token: str):
+        found = self.of(token)
+        found = found if any(found) else None
+        if len(self) < CACHED_TOKENS:
+            self[token] = found
+        return found
+
+    def of(self, token: str) -> tuple:
         word = _TRIM.sub("", token.lower())
-        if token.isupper() and len(token) > 1:
-            caps += 1
-        best, stem = lexicon.get(word, 0.0), False
+        best, stem, strange, plain = self.lexicon.get(word, 0.0), False, False, False
         for k in PREFIXES:
-            if len(word) > k and (o := lexicon.get(word[:k] + "*", 0.0)) > best:
+            if len(word) > k and (o := self.lexicon.get(word[:k] + "*", 0.0)) > best:
                 best, stem = o, True
-        if word in SECOND_PERSON:
-            second.append(i)
-        if word in _SEEDS:
-            seed += 1
+        seed = word in _SEEDS
+        if seed:
             best = max(best, 3.0)
         elif word and not word.isalpha():
             bare = "".join(c for c in word.translate(_PLAIN) if c.isalpha())
-            strange += any(c.isalpha() for c in word)
-            if bare != word and (bare in _SEEDS or lexicon.get(bare, 0.0) > 2):
-                plain += 1
-                best = max(best, 3.0)
-        if best > 0:
+            strange = any(c.isalpha() for c in word)
+            if bare != word and (bare in _SEEDS or self.lexicon.get(bare, 0.0) > 2):
+                plain, best = True, max(best, 3.0)
+        return token.isupper() and len(token) > 1, word in SECOND_PERSON, seed, strange, plain, stem, best
+
+
+def features(text: str, facts: TokenFacts) -> list[float]:
+    raw = _WORD.findall(text)
+    n = len(raw) or 1
+    hits, seed, stems, plain, weight, strange, caps, second = [], 0, 0, 0, 0.0, 0, 0, []
+    for i, found in enumerate(map(facts.__getitem__, raw)):
+        if found is None:
+            continue
+        caps, seed, strange, plain = caps + found[0], seed + found[2], strange + found[3], plain + found[4]
+        if found[1]:
+            second.append(i)
+        if found[6] > 0:
             hits.append(i)
-            stems += stem
-            weight += best
+            stems += found[5]
+            weight += found[6]
     near = densest = 0
     if hits:
         at = np.array(hits)
         densest = int((np.searchsorted(at, at + 50) - np.arange(len(at))).max())
         if second:
-            near = int(sum(np.abs(at - s).min() <= 6 for s in second))
+            near = _near(at, np.array(second))
     chars = len(text) or 1
     return [math.log1p(len(raw)), seed / n, (len(hits) - stems) / n, stems / n, float(densest), near / n, len(second) / n, caps / n, text.count("!") / chars, sum(text.count(c) for c in ".,;:?#$%&*|") / chars, strange / n, plain / n, weight / n]
 
 
+def _near(at: np.ndarray, second: np.ndarray, reach: int = 6) -> int:
+    """How many of the (ascending) places second have one of the (ascending) places at within reach."""
+    return int((np.searchsorted(at, second + reach, "right") > np.searchsorted(at, second - reach)).sum())
+
+
 _SEEDS = frozenset(INSULTS)
 
 
@@ -113,8 +137,9 @@ def featured(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     schema = f"{', '.join(f'`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}' for i in keep)}, x array<double>"
 
     def run(batches):
+        facts = TokenFacts(lexicon)
         for batch in slices(batches):
-            x = [features(t or "", lexicon) for t in batch.column(at).to_pylist()]
+            x = [features(t or "", facts) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(x, pa.list_(pa.float64()))], names=names)
 
     return docs.mapInArrow(run, schema).withColumn("features", array_to_vector("x")).drop("x")
