@@ -56,12 +56,12 @@ def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES) -> dict[str
 
     sums = sample.select("text", "label").mapInPandas(count, "form string, label int, n long, docs long")
     one = lambda what, y: F.sum(F.when(F.col("label") == y, F.col(what)).otherwise(0))
-    both = sums.groupBy("form").agg(one("n", 1).alias("bad"), one("n", 0).alias("good"), one("docs", 1).alias("bad_docs"))
+    both = spool(sums.groupBy("form").agg(one("n", 1).alias("bad"), one("n", 0).alias("good"), one("docs", 1).alias("bad_docs")).where("form = '' or bad_docs >= 3"))
     totals = both.where("form = ''").first()
     if totals is None or not totals["bad"]:
         return {}
     odds = F.log((F.col("bad") + 0.5) / F.lit(float(totals["bad"]))) - F.log((F.col("good") + 0.5) / F.lit(float(max(1, totals["good"]))))
-    top = both.where("form <> '' and bad_docs >= 3").withColumn("odds", odds).where("odds > 1.8").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "form").limit(entries).toPandas()
+    top = both.where("form <> ''").withColumn("odds", odds).where("odds > 1.8").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "form").limit(entries).toPandas()
     return {f: float(o) for f, o in zip(top["form"], top["odds"])}
 
 
