@@ -165,6 +165,42 @@ def test_licences(spark):
     assert licences.license_scan(docs(spark, rows), {}).collect() == []
 
 
+def test_licences_with_edits(spark):
+    """Every short notice with any word changed or left out, and long templates with as many words changed as coverage allows, evenly."""
+    rows, want = [], []
+    for name, template in sorted(licences.TEMPLATES.items()):
+        own = re.findall(r"[^\W_]+", template)
+        spare = len(own) - int(np.ceil(licences.COVERAGE * len(own)))
+        at = [[i] for i in range(len(own))] if len(own) < 30 else [list(range(o, len(own), -(-len(own) // spare)))[:spare] for o in range(3)] + [[(2 * j + 1) * len(own) // (2 * spare) for j in range(spare)]]
+        for gone in at:
+            for put in ("zzz", ""):
+                edited = [put if i in gone else w for i, w in enumerate(own)]
+                rows.append((len(rows), "x y z " + " ".join(edited) + " u v w"))
+                want.append((name, (len(own) - len(gone)) / len(own)))
+    got = {}
+    for r in licences.license_scan(docs(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["coverage"]))
+    for (i, text), (name, coverage) in zip(rows, want):
+        assert [c for n, c in got.get(i, []) if n == name] == [pytest.approx(coverage)], text
+
+
+def test_licences_side_by_side(spark):
+    notices = {n: t for n, t in licences.TEMPLATES.items() if n.endswith("-notice")}
+    rows = []
+    for name, template in sorted(notices.items()):
+        own = re.findall(r"[^\W_]+", template)
+        edited = [" ".join(own[:i] + ["zzz"] + own[i + 1 :]) for i in (1, len(own) - 2, 2)]
+        rows += [(len(rows), " ".join([template] * 4)), (len(rows) + 1, " ".join(edited)), (len(rows) + 2, " ".join([template, edited[2], template]))]
+    got = {}
+    for r in licences.license_scan(docs(spark, rows), notices).collect():
+        got.setdefault((r["doc_id"], r["license"]), []).append((r["span_start"], r["span_end"]))
+    for k, name in enumerate(sorted(notices)):
+        for j, copies in enumerate((4, 3, 3)):
+            spans = sorted(got[3 * k + j, name])
+            assert len(spans) == copies and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert licences.license_scan(docs(spark, [(1, "a Foo bar"), (2, "foo")]), {"two": "foo bar", "none": "!"}).collect()[0]["coverage"] == 1
+
+
 def test_secrets(spark):
     texts = [
         "é password = 'hunter22' api-key:abcdefg, TOKEN:abc Secret=\"x.y/z+1=\"",

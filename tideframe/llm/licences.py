@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 
 import numpy as np
@@ -24,13 +26,22 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
 }
 GRAM = 3
-WINDOW = 4
 BAND = 8
 COVERAGE = 0.8
+DIAGONALS = 256
 _TOKEN = re.compile(r"[^\W_]+")
 
 
-def winnowed(grams: np.ndarray, window: int = WINDOW) -> list[int]:
+def gram_and_window(m: int, coverage: float) -> tuple[int, int]:
+    """(words in a gram, grams in a window) by which winnowing misses no text of at least `coverage`: k words of a template of m changed, left out or
+    parted by others leave m - k equal words in k + 1 runs at most, so one run has this many words, and window + gram - 1 words hold a fingerprint."""
+    need = min(m, max(1, math.ceil(coverage * m - 1e-9)))
+    run = -(-need // (m - need + 1))
+    gram = min(GRAM, run)
+    return gram, run - gram + 1
+
+
+def winnowed(grams: np.ndarray, window: int) -> list[int]:
     """Positions of the fingerprints: in each window of grams the last of the smallest."""
     if not len(grams):
         return []
@@ -43,32 +54,36 @@ def winnowed(grams: np.ndarray, window: int = WINDOW) -> list[int]:
     return out
 
 
-def aligned(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matches, first, last) of the alignment with the most equal words within the band of a diagonal (place in words less place in template); first and last are places of matched words."""
+def scores(template: np.ndarray, words: np.ndarray, diagonals: np.ndarray, band: int) -> np.ndarray:
+    """For each diagonal (place in words less place in template), template word i and place k of the band: the most equal words, in order, from there on."""
     m, width = len(template), 2 * band + 1
-    score = np.zeros((m + 1, width + 1), np.int32)
+    score = np.zeros((len(diagonals), m + 1, width + 1), np.int32)
     for i in range(m - 1, -1, -1):
-        places = i + diagonal - band + np.arange(width)
-        inside = (places >= 0) & (places < len(words))
-        equal = np.zeros(width, bool)
-        equal[inside] = words[places[inside]] == template[i]
-        down = np.append(0, score[i + 1, : width - 1])  # the template's word is skipped: same place is one to the left in the next row
-        step = np.maximum(down, score[i + 1, :width] * 1 + equal)
-        score[i, :width] = np.maximum.accumulate(step[::-1])[::-1]
-    i, k, first, last = 0, 0, -1, -1
-    total = int(score[0, :width].max(initial=0))
-    while i < m and k < width and score[i, k] > 0:
+        places = (i + diagonals - band)[:, None] + np.arange(width)
+        equal = (places >= 0) & (places < len(words))
+        equal &= words[np.clip(places, 0, len(words) - 1)] == template[i]
+        below = score[:, i + 1, :width]
+        step = below + equal
+        np.maximum(step[:, 1:], below[:, :-1], out=step[:, 1:])  # the template's word is skipped: same place is one to the left in the next row
+        score[:, i, :width] = np.maximum.accumulate(step[:, ::-1], axis=1)[:, ::-1]
+    return score
+
+
+def span(score: np.ndarray, template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> tuple[int, int]:
+    """(first, last) matched word of one of the best alignments of a diagonal: of those the one that starts last, and from there ends early."""
+    m, i, k, first, last = len(template), 0, 0, -1, -1
+    while i < m and score[i, k] > 0:
         place = i + diagonal - band + k
-        if 0 <= place < len(words) and words[place] == template[i] and score[i, k] == score[i + 1, k] + 1:
+        if first < 0 and score[i, k] == score[i, k + 1]:
+            k += 1
+        elif 0 <= place < len(words) and words[place] == template[i] and score[i, k] == score[i + 1, k] + 1:
             first, last = (place if first < 0 else first), place
             i += 1
-        elif k + 1 <= width and score[i, k] == score[i, k + 1]:
+        elif score[i, k] == score[i, k + 1]:
             k += 1
         else:
-            i, k = i + 1, k - 1
-            if k < 0:
-                i, k = i, 0
-    return total, first, last
+            i, k = i + 1, max(k - 1, 0)
+    return first, last
 
 
 class Scanner:
@@ -78,47 +93,83 @@ class Scanner:
         self.cache, self.coverage = WordHashes(), coverage
         self.names = sorted(templates)
         self.words = [self.hashed(_TOKEN.findall(templates[n].lower())) for n in self.names]
-        self.index: dict[int, list[tuple[int, int]]] = {}
+        self.index: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, w in enumerate(self.words):
-            grams = run_hashes(w, min(GRAM, max(1, len(w))))
-            for at in winnowed(grams):
-                self.index.setdefault(int(grams[at]), []).append((t, at))
-        self.fingerprints = np.array(sorted(self.index), np.uint64)
+            if len(w):
+                gram, window = gram_and_window(len(w), coverage)
+                grams = run_hashes(w, gram)
+                for at in winnowed(grams, window):
+                    self.index.setdefault(gram, {}).setdefault(int(grams[at]), []).append((t, at))
+        self.fingerprints = {gram: np.array(sorted(places), np.uint64) for gram, places in self.index.items()}
 
     def hashed(self, words: list[str]) -> np.ndarray:
         return word_hashes([w.encode() for w in words], self.cache)
 
+    def hits(self, template: np.ndarray, words: np.ndarray, diagonals: np.ndarray) -> list[tuple[int, int, int]]:
+        """(matches, first, last) of the alignments that cover the template, apart from one another: the best first, then those between them.
+
+        A word more makes up for three foreign words in the span, and a short template is also aligned in a band that sees no copy beside it, so that
+        no alignment takes its words from two copies."""
+        out, todo = [], [(0, len(words), diagonals)]
+        least = self.coverage * len(template) - 1e-9
+        wide = max(BAND, len(template) - math.ceil(least))
+        while todo:
+            low, high, mine = todo.pop()
+            part, found = words[low:high], []
+            if len(part) < least:
+                continue
+            for at in range(0, len(mine), DIAGONALS):
+                some = mine[at : at + DIAGONALS] - low
+                for band in sorted({wide, min(wide, len(template) // 2)}, reverse=True):
+                    score = scores(template, part, some, band)
+                    total = score[:, 0].max(axis=1)
+                    hit = np.flatnonzero((total >= least) & (total > 0))
+                    for j in hit:
+                        first, last = span(score[j], template, part, int(some[j]), band)
+                        found.append((int(total[j]), low + first, low + last, int(some[j]) + low))
+                    some = some[hit]
+                    if not len(some):
+                        break
+            kept: list[tuple[int, int, int]] = []
+            for matches, first, last, _ in sorted(found, key=lambda x: (x[2] - x[1] - 4 * x[0], -x[0], x[1])):
+                at = bisect.bisect(kept, first, key=lambda x: x[1])
+                if (not at or kept[at - 1][2] < first) and (at == len(kept) or last < kept[at][1]):
+                    kept.insert(at, (matches, first, last))
+            if kept:
+                out += kept
+                again = np.unique([x[3] for x in found])
+                for a, b in zip([low, *(x[2] + 1 for x in kept)], [*(x[1] for x in kept), high]):
+                    near = again[np.searchsorted(again, a - len(template) - wide) : np.searchsorted(again, b + wide)]
+                    if len(near):
+                        todo.append((a, b, near))
+        return out
+
     def find(self, text: str) -> list[dict]:
         low = text.lower()
         words = self.hashed(_TOKEN.findall(low))
-        grams = run_hashes(words, GRAM)
-        if not len(grams) or not len(self.fingerprints):
-            return []
-        near = np.minimum(np.searchsorted(self.fingerprints, grams), len(self.fingerprints) - 1)
-        diagonals: dict[int, list[int]] = {}
-        for at in np.flatnonzero(self.fingerprints[near] == grams):
-            for t, own in self.index[int(grams[at])]:
-                diagonals.setdefault(t, []).append(int(at) - own)
+        diagonals: dict[int, set[int]] = {}
+        for gram, fingerprints in self.fingerprints.items():
+            grams = run_hashes(words, gram)
+            near = np.minimum(np.searchsorted(fingerprints, grams), len(fingerprints) - 1)
+            for at in np.flatnonzero(fingerprints[near] == grams):
+                for t, own in self.index[gram][int(grams[at])]:
+                    diagonals.setdefault(t, set()).add(int(at) - own)
         out, spans = [], None
         for t, mine in diagonals.items():
-            done = None
-            for diagonal in sorted(mine):
-                if done is not None and diagonal - done <= BAND:
-                    continue
-                done = diagonal
-                matches, first, last = aligned(self.words[t], words, diagonal)
-                if matches >= self.coverage * len(self.words[t]) and first >= 0:
-                    if spans is None:
-                        spans = [m.span() for m in _TOKEN.finditer(low)]
-                    out.append({"license": self.names[t], "coverage": matches / len(self.words[t]), "start": spans[first][0], "end": spans[last][1]})
+            for matches, first, last in self.hits(self.words[t], words, np.array(sorted(mine), np.int64)):
+                if spans is None:
+                    spans = [m.span() for m in _TOKEN.finditer(low)]
+                out.append({"license": self.names[t], "coverage": matches / len(self.words[t]), "start": spans[first][0], "end": spans[last][1]})
         return sorted(out, key=lambda x: (x["start"], x["license"]))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, span_start, span_end) of every template found in a text.
 
-    Words are runs of letters and digits in lower case. A template is a candidate where one of its winnowed 3-word fingerprints occurs; it is found if an alignment within
-    8 words of that diagonal matches at least `coverage` of its words. Spans are code points of the text in lower case, end exclusive. Templates come from
+    Words are runs of letters and digits in lower case. A template is a candidate where one of its winnowed fingerprints occurs; it is found if an alignment within
+    8 words of that diagonal (or as many as may be missing, where that is more) matches at least `coverage` of its words. Fingerprints have 3 words, or fewer where the template is so short or `coverage` so low that the words
+    allowed to differ could break all of 3, and are as dense as it takes that no such text is lost. Coverage is all that is asked: a short notice that names another license
+    in one word is found. Each copy gives its own row, also beside another. Spans are code points of the text in lower case, end exclusive. Templates come from
     the caller (a short list) and go to each task. Null and empty texts have none; repeated rows each give theirs; an empty table, or no template, gives no rows.
     """
     small_batches(docs.sparkSession)
