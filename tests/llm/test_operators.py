@@ -243,6 +243,28 @@ def test_substrings(spark, corpus):
     assert substrings.substring_dedup(docs(spark, [])).collect() == []
 
 
+def test_substrings_hot_passage(spark):
+    """One 25-word passage in a third of the documents, with other words around it: no group holds a large part of the windows, and results stay right."""
+    rng = random.Random(11)
+    passage = words(rng, 25)
+    texts = [" ".join(words(rng, 30, 10**6) + (passage if i % 3 == 0 else []) + words(rng, 30, 10**6)) for i in range(900)]
+    texts += texts[:4] + [" ".join(passage + words(rng, 30, 10**6))] * 2
+    rows = list(enumerate(texts))
+    got = substrings.substring_dedup(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(brute_kept(rows, 35))
+    kept = spark.createDataFrame(rows, "row long, text string").coalesce(1)
+    seen = []
+    deal = substrings._suffixes
+    try:
+        substrings._suffixes = lambda *a: seen.append(a) or deal(*a)
+        substrings.repeated_runs(kept, hot_windows=100)
+    finally:
+        substrings._suffixes = deal
+    parts = kept.mapInArrow(deal(*seen[0]), "part int, row long, start long, stop long, nodes binary, known boolean").where("not known").groupBy("part").agg({"*": "count", "stop": "sum", "start": "sum"}).collect()
+    sizes = [r["sum(stop)"] - r["sum(start)"] for r in parts]
+    assert max(sizes) < 0.03 * sum(sizes)
+
+
 def test_packing(spark, corpus):
     got = packing.pack(docs(spark, corpus), group_docs=8).collect()
     reference = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -18,6 +18,9 @@ LOG2_BITS = 26
 CHUNK = 1_000_000
 GROUPS = 256
 GROUP_RUNS = 20_000
+GROUP_WINDOWS = 500_000
+HOT = 2_000
+LOG2_HOT_BITS = 22
 
 
 def anchors_of(h: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,27 +38,30 @@ def _anchor_counts(window: int, run: int):
     def count(batches):
         cache = WordHashes()
         for batch in slices(batches):
-            values, times = [], []
+            values, times, windows = [], [], []
             for text in batch.column(0).to_pylist():
                 words = text.encode().split() if text else ()
                 if len(words) < window:
                     continue
                 g, least = anchors_of(word_hashes(words, cache), window, run)
-                chosen = np.unique(least)
+                chosen, under = np.unique(least, return_counts=True)
                 g = np.sort(g)
                 values.append(chosen)
+                windows.append(under)
                 times.append(np.minimum(np.searchsorted(g, chosen, "right") - np.searchsorted(g, chosen, "left"), 2))
             if values:
                 value, at = np.unique(np.concatenate(values), return_inverse=True)
                 n = np.minimum(np.bincount(at, np.concatenate(times).astype(float)), 2).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+                under = np.bincount(at, np.concatenate(windows).astype(float)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n), pa.array(under)], names=["anchor", "n", "windows"])
 
     return count
 
 
-def _suffixes(bits: np.ndarray, rounds: int, turn: int, window: int, run: int, groups: int, chunk: int):
+def _suffixes(bits: np.ndarray, hot: np.ndarray, rounds: int, turn: int, window: int, run: int, groups: int, chunk: int):
     """Rows (part, row, start, stop, nodes): window starts start..stop-1 under one anchor, with the hash of each whole window (its node at depth `window`).
 
+    Windows under a hot anchor are dealt one by one by their own hash instead, so that no anchor fills a group: what surrounds the shared run parts them, equal ones stay together.
     Rows without nodes are known to repeat: their windows occur twice within the chunk. Of such windows one stands for all in the shuffle.
     """
     def flush(rows, starts, anchors, nodes):
@@ -69,6 +75,8 @@ def _suffixes(bits: np.ndarray, rounds: int, turn: int, window: int, run: int, g
             if not len(mine):
                 continue
             r, s, a = row[mine], start[mine], anchor[mine]
+            if not kind:
+                a = np.where(in_bitmap(hot, a), node[mine], a)
             cut = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1) | (not kind) & (a[1:] != a[:-1])))
             ends = np.append(cut[1:], len(mine))
             part = (r[cut].view(np.uint64) if kind else a[cut]) % np.uint64(groups)
@@ -120,23 +128,25 @@ def _deep_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def repeated_runs(texts: DataFrame, window: int = WINDOW, run: int = RUN, log2_bits: int = LOG2_BITS, group_runs: int = GROUP_RUNS) -> DataFrame:
+def repeated_runs(texts: DataFrame, window: int = WINDOW, run: int = RUN, log2_bits: int = LOG2_BITS, group_runs: int = GROUP_RUNS, hot_windows: int = HOT) -> DataFrame:
     """(row, start, stop): the window starts start..stop-1 of texts (row, text) whose words also start a window elsewhere.
 
     Each window is dealt by its anchor, the least hash among its `run`-word runs, so that all suffixes with one shared run meet. Only anchors that
     occur twice matter; which they are goes to the tasks as a bitmap of fixed size, in as many rounds as it needs to stay sparse.
-    A group holds the windows of about `group_runs` shared runs; a window that a chunk of rows holds many times is sent once, so no passage, however common, fills a group.
+    A group holds the windows of about `group_runs` shared runs, or about GROUP_WINDOWS windows where that is less; a window that a chunk of rows holds many times is sent once,
+    and anchors of more than `hot_windows` windows (a passage in many documents, with other words around it) are split by the whole window's hash. So no passage, however common, fills a group.
     """
     small_batches(texts.sparkSession)
-    counts = texts.select("text").mapInArrow(_anchor_counts(window, run), "anchor long, n byte")
-    shared = spool(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
-    many = shared.count()
+    counts = texts.select("text").mapInArrow(_anchor_counts(window, run), "anchor long, n byte, windows long")
+    shared = spool(counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows")).where("n > 1").select("anchor", "windows"))
+    many, windows = shared.agg(F.count("*"), F.coalesce(F.sum("windows"), F.lit(0))).first()
+    hot = bitmap(shared.where(F.col("windows") > hot_windows), "anchor", LOG2_HOT_BITS)
     rounds = max(1, -(-many // (1 << (log2_bits - 3))))
-    groups = max(GROUPS, -(-many // (group_runs * rounds)))
+    groups = max(GROUPS, -(-many // (group_runs * rounds)), -(-windows // (GROUP_WINDOWS * rounds)))
     out = None
     for turn in range(rounds):
         mine = shared if rounds == 1 else shared.where(F.expr(f"cast(conv(hex(anchor), 16, 10) as decimal(20)) % {rounds} = {turn}"))
-        deal = _suffixes(bitmap(mine, "anchor", log2_bits), rounds, turn, window, run, groups, CHUNK)
+        deal = _suffixes(bitmap(mine, "anchor", log2_bits), hot, rounds, turn, window, run, groups, CHUNK)
         found = texts.select("row", "text").mapInArrow(deal, "part int, row long, start long, stop long, nodes binary, known boolean").groupBy("part").applyInPandas(_deep_nodes, "row long, start long, stop long")
         out = found if out is None else out.unionByName(found)
     return out
