@@ -125,6 +125,31 @@ def test_urls(spark):
     assert urls.Segmenter({"cheap": 9.0, "casino": 9.0, "cas": 1.0}).split("cheapcasino") == ("cheap", "casino")
 
 
+def test_urls_keep_all_words(spark):
+    """More than 50,000 words: rare ones that only unwanted urls have still count, and the scores are those of a plain computation."""
+    rng = random.Random(4)
+    letters = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwz") for _ in range(7))
+    clean = [f"http://news{n % 9}.info/{'/'.join(letters() for _ in range(30))}" for n in range(2000)]
+    rows = [*enumerate(clean), *((2000 + n, f"http://a{n}.biz/casino/zzzzyx/zzzzyy") for n in range(2)), (3000, "http://b.biz/zzzzyx/zzzzyy"), (3001, "http://b.biz/zzzzyx/zzzzyy")]
+    got = {r["page_id"]: r for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    split, labels = {}, {}
+    for i, u in rows:
+        a, b = urls.pieces(*u.split("://")[1].split("/", 1))
+        split[i] = ["h:" + x for x in a] + ["p:" + x for x in b]
+        labels[i] = any(w[2:] in urls.UNWANTED for w in split[i])
+    count = {True: {f"{k}:{w}": 5 for w in urls.UNWANTED for k in "hp"}, False: {}}
+    for i, own in split.items():
+        for w in own:
+            count[labels[i]][w] = count[labels[i]].get(w, 0) + 1
+    size = len({*count[True], *count[False]}) + 1
+    part = {k: sum(c.values()) + size for k, c in count.items()}
+    assert size > 50_000 and len(got) == len(rows)
+    prior = min(np.log((sum(labels.values()) + 1) / (len(rows) - sum(labels.values()) + 1)), -0.1)
+    for i in (0, 1, 2000, 3000, 3001):
+        x = prior + sum(np.log((count[True].get(w, 0) + 1) / part[True]) - np.log((count[False].get(w, 0) + 1) / part[False]) for w in split[i])
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-x)))
+
+
 def distance(item, text):
     """The least edit distance of item to any part of text."""
     row = [0] * (len(text) + 1)

@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import LOWER_LETTERS, UPPER_LETTERS
+from tideframe.llm.common import LOWER_LETTERS, UPPER_LETTERS, WordHashes, bitmap, in_bitmap, spool, word_hashes
 
 # The rules of the query (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -19,7 +18,7 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block",
 UNWANTED = "spam farm pills cheap casino casinos poker bet betting slots jackpot viagra cialis porn xxx sex nude escort adult hookup ads ad track tracker tracking click clicks banner popup malware phishing phish warez crack keygen torrent loan loans payday free win winner prize replica clickbait seo backlink backlinks doorway scam".split()
 ORDINARY = "www blog news home page article articles post posts about help docs wiki shop store index contact search story science health sport sports music book books history world local school city travel food mail forum media photo photos video videos example online site web info data open public library research journal the and for with of in on to best your my our new".split()
 
-MAX_WORDS = 50_000
+LOG2_BITS = 26
 LONGEST = 24
 LEAST_HOSTS = 3
 
@@ -46,8 +45,9 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Unigram Viterbi: splits a name into the most probable words."""
 
-    def __init__(self, counts: dict[str, float]):
-        self.total = sum(counts.values()) or 1.0
+    def __init__(self, counts: dict[str, float], total: float | None = None):
+        """counts of words; total is that of all words, where counts has only some."""
+        self.total = total or sum(counts.values()) or 1.0
         self.log = {w: math.log(c / self.total) for w, c in counts.items() if w}
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -80,53 +80,78 @@ def pieces(host: str, path: str) -> tuple[list[str], list[str]]:
     return re.findall(r"[^\W\d_]+", " ".join(labels[:-1])), re.findall(r"[^\W\d_]+", path.lower())
 
 
-def model_words(segmenter: Segmenter, host: str, path: str) -> list[str]:
-    a, b = pieces(host, path)
-    return ["h:" + w for x in a for w in segmenter.split(x)] + ["p:" + w for x in b for w in segmenter.split(x)]
-
-
-def unigrams(urls: DataFrame, max_words: int = MAX_WORDS) -> dict[str, float]:
-    """Counts of words, the most frequent max_words of them (the model's size bound), with the seed words added: delimited words of all paths, and host labels that
+def unigrams(urls: DataFrame) -> DataFrame:
+    """(w, count) of all words, with the seed words added: delimited words of all paths, and host labels that
     several hosts have; a name that only one host has may be words run together, and must not count as a word."""
     split = lambda df, c: df.select(F.explode(F.regexp_extract_all(c, F.lit(r"(\p{L}+)"), 1)).alias("w")).where(F.length("w") <= LONGEST).groupBy("w").count()
     hosts = split(urls.select("host").distinct(), F.regexp_replace("host", r"\.[^.]*$", "")).where(F.col("count") >= LEAST_HOSTS)
-    words = split(urls, F.lower("path")).unionByName(hosts).groupBy("w").agg(F.sum("count").alias("count"))
-    top = words.orderBy(F.desc("count"), "w").limit(max_words).toPandas()
-    counts = {w: float(c) for w, c in zip(top["w"], top["count"])}
-    floor = max(50.0, sum(counts.values()) / 500)
-    for w in (*UNWANTED, *ORDINARY):
-        counts[w] = counts.get(w, 0.0) + floor
-    return counts
-
-
-def naive_bayes(urls: DataFrame, segmenter: Segmenter, max_words: int = MAX_WORDS) -> dict[str, float]:
-    """Log odds (unwanted against clean) of each word, learned from all urls, which seed words label; "" has the prior's."""
-    def label(batches):
+    words = spool(split(urls, F.lower("path")).unionByName(hosts).groupBy("w").agg(F.sum("count").alias("count")))
+    floor = max(50.0, (words.agg(F.sum("count")).first()[0] or 0) / 500)
+    seeds = words.sparkSession.createDataFrame([(w, floor) for w in (*UNWANTED, *ORDINARY)], "w string, count double")
+    return spool(words.select("w", F.col("count").cast("double")).unionByName(seeds).groupBy("w").agg(F.sum("count").alias("count")))
+
+
+def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(name, words) of distinct names: each meets the counts of its parts by a join, so that no task holds the counts.
+
+    Parts that are no word are mostly dropped before, by a bitmap of fixed size of the words' hashes; it lets more through when words are many, and never drops a word."""
+    total = counts.agg(F.sum("count")).first()[0]
+
+    def hashed(batches):
+        cache = WordHashes()
+        for pdf in batches:
+            yield pd.DataFrame({"h": word_hashes([w.encode() for w in pdf["w"]], cache).view("int64")})
+
+    bits = bitmap(counts.select("w").mapInPandas(hashed, "h long"), "h", LOG2_BITS)
+
+    def parts(batches):
+        cache, out = WordHashes(), ([], [])
         for pdf in batches:
-            out: dict[tuple[str, int], int] = {}
-            for host, path in zip(pdf["host"], pdf["path"]):
-                words = model_words(segmenter, host, path)
-                bad = int(any(w[2:] in _BAD for w in words))
-                for w in (*words, ""):
-                    out[w, bad] = out.get((w, bad), 0) + 1
-            yield pd.DataFrame([(w, b, n) for (w, b), n in out.items()], columns=["w", "bad", "n"])
-
-    seen = urls.select("host", "path").mapInPandas(label, "w string, bad int, n long")
-    top = seen.groupBy("w").agg(F.sum(F.col("n") * F.col("bad")).alias("bad"), F.sum(F.col("n") * (1 - F.col("bad"))).alias("good")).orderBy(F.desc(F.col("bad") + F.col("good")), "w").limit(max_words).toPandas()
-    bad, good = dict(zip(top["w"], top["bad"])), dict(zip(top["w"], top["good"]))
-    docs_bad, docs_good = bad.pop("", 0), good.pop("", 0)
-    for w in UNWANTED:
-        for kind in "hp":
-            bad[f"{kind}:{w}"] = bad.get(f"{kind}:{w}", 0) + 5
-            good.setdefault(f"{kind}:{w}", 0)
-    size = len(bad) + 1
-    all_bad, all_good = sum(bad.values()) + size, sum(good.values()) + size
-    odds = {w: math.log((bad[w] + 1) / all_bad) - math.log((good.get(w, 0) + 1) / all_good) for w in bad}
-    odds[""] = math.log((docs_bad + 1) / (docs_good + 1))
-    return odds
-
-
-_BAD = frozenset(UNWANTED)
+            for name in pdf["name"]:
+                found = sorted({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)})
+                known = in_bitmap(bits, word_hashes([w.encode() for w in found], cache))
+                mine = [w for w, k in zip(found, known) if k] or [""]
+                out[0].extend([name] * len(mine))
+                out[1].extend(mine)
+                if len(out[0]) >= 10_000:
+                    yield pd.DataFrame({"name": out[0], "w": out[1]})
+                    out = ([], [])
+        yield pd.DataFrame({"name": out[0], "w": out[1]}, dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def split(name: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([list(Segmenter({x["w"]: x["count"] for x in f}, total).split(n)) for n, f in zip(name, found)])
+
+    met = names.mapInPandas(parts, "name string, w string").join(counts, "w", "left").groupBy("name")
+    known = met.agg(F.collect_list(F.when(F.col("count").isNotNull(), F.struct("w", "count"))).alias("found"))
+    return known.select("name", split("name", "found").alias("words"))
+
+
+def model_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, path, n, words) of the distinct urls: how many rows each has, and its words (h: of the host, p: of the path) with how often they occur."""
+    def cut(batches):
+        for pdf in batches:
+            rows = [(h, p, n, kind, x) for h, p, n in zip(pdf["host"], pdf["path"], pdf["n"]) for kind, names in zip(("h:", "p:"), pieces(h, p)) for x in names or ([""] if kind == "h:" else [])]
+            yield pd.DataFrame(rows, columns=["host", "path", "n", "kind", "name"])
+
+    cuts = spool(urls.groupBy("host", "path").agg(F.count("*").alias("n")).mapInPandas(cut, "host string, path string, n long, kind string, name string"))
+    names = spool(segmented(cuts.where("name <> ''").select("name").distinct(), counts))
+    met = cuts.join(names, "name", "left").select("host", "path", "n", F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.concat("kind", w)).alias("words"))
+    return spool(met.groupBy("host", "path", "n").agg(F.flatten(F.collect_list("words")).alias("words")))
+
+
+def naive_bayes(known: DataFrame) -> tuple[DataFrame, float]:
+    """((w, odds) of all words, the prior's odds): log odds, unwanted against clean, learned from all urls, which seed words label."""
+    bad = F.exists("words", lambda w: F.substring(w, 3, 1 << 30).isin(UNWANTED))
+    rows = known.select("n", bad.cast("long").alias("bad"), "words")
+    good = lambda n: [F.sum(F.col(n) * F.col("bad")).alias("bad"), F.sum(F.col(n) * (1 - F.col("bad"))).alias("good")]
+    docs = rows.agg(*good("n")).first()
+    seen = rows.select("n", "bad", F.explode("words").alias("w")).groupBy("w").agg(*good("n"))
+    seeds = known.sparkSession.createDataFrame([(f"{kind}:{w}", 5, 0) for w in UNWANTED for kind in "hp"], "w string, bad long, good long")
+    words = spool(seen.unionByName(seeds).groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    size, all_bad, all_good = words.agg(F.count("*") + 1, F.sum("bad"), F.sum("good")).first()
+    odds = F.log((F.col("bad") + 1) / F.lit(float(all_bad + size))) - F.log((F.col("good") + 1) / F.lit(float(all_good + size)))
+    return words.select("w", odds.alias("odds")), math.log(((docs["bad"] or 0) + 1) / ((docs["good"] or 0) + 1))
 
 
 def url_filter(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -134,21 +159,17 @@ def url_filter(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str
 
     score is the probability that the url is unwanted (0.5 or more: block), whatever the rule says. A null url, or one without `://`,
     has empty host and path; without words the verdict is the prior's, which is allow unless most urls are unwanted.
-    One row for each input row; repeated rows stay; other columns of pages are not carried. The models' sizes are bounded (MAX_WORDS).
+    One row for each input row; repeated rows stay; other columns of pages are not carried. Both models hold all words, as tables that names and urls meet by joins.
     """
     host, path = host_path(url)
     urls = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    segmenter = Segmenter(unigrams(urls))
-    odds = naive_bayes(urls, segmenter)
-    prior = min(odds[""], -0.1)
-
-    @F.pandas_udf("double")
-    def unwanted(h: pd.Series, p: pd.Series) -> pd.Series:
-        x = np.array([prior + sum(odds.get(w, 0.0) for w in model_words(segmenter, a, b)) for a, b in zip(h, p)], float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(x, -500, 500))))
+    known = model_words(urls, unigrams(urls))
+    odds, prior = naive_bayes(known)
+    sums = known.select("host", "path", F.explode("words").alias("w")).join(odds, "w").groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+    x = F.coalesce("odds", F.lit(0.0)) + F.lit(min(prior, -0.1))
 
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    scored = urls.withColumn("score", unwanted("host", "path"))
+    scored = urls.join(sums, ["host", "path"], "left").withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), x)))))
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
 
 
