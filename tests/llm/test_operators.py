@@ -277,19 +277,49 @@ def test_substrings_hot_passage(spark):
     rows = list(enumerate(texts))
     got = substrings.substring_dedup(docs(spark, rows)).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(brute_kept(rows, 35))
-    kept = spark.createDataFrame(rows, "row long, text string").coalesce(1)
+    kept = spark.createDataFrame(rows, "row long, text string").select(substrings.text_digest().alias("digest"), "text").coalesce(1)
     seen = []
-    deal = substrings._suffixes
+    deal = substrings.dealt_suffixes
     try:
-        substrings._suffixes = lambda *a: seen.append(a) or deal(*a)
-        substrings.repeated_runs(kept, hot_windows=100)
+        substrings.dealt_suffixes = lambda *a: seen.append(a) or deal(*a)
+        substrings.repeated_runs(kept, hot_suffixes=100)
     finally:
-        substrings._suffixes = deal
-    parts = kept.mapInArrow(deal(*seen[0]), "part int, row long, start long, stop long, nodes binary, known boolean").where("not known").groupBy("part").agg({"*": "count", "stop": "sum", "start": "sum"}).collect()
+        substrings.dealt_suffixes = deal
+    parts = kept.mapInArrow(deal(*seen[0]), substrings._DEALT_DDL).where("words is not null").groupBy("part").agg({"*": "count", "stop": "sum", "start": "sum"}).collect()
     sizes = [r["sum(stop)"] - r["sum(start)"] for r in parts]
     assert max(sizes) < 0.03 * sum(sizes)
 
 
+def test_suffix_tree():
+    """Order and shared depths of neighbours against plain sorting, over few and many different words."""
+    rng = random.Random(1)
+    for _ in range(150):
+        n, kinds, depth = rng.randrange(40, 300), rng.choice([1, 2, 3, 50]), rng.choice([1, 2, 3, 5, 8, 13, 35])
+        own = [rng.randrange(kinds) for _ in range(n)]
+        leaves = np.arange(n - depth + 1)
+        order, common = substrings.suffix_tree(np.array(own), leaves, depth)
+        keys = [own[i : i + depth] for i in order]
+        assert keys == sorted(own[i : i + depth] for i in leaves) and sorted(order) == list(leaves)
+        for a, b, c in zip(keys, keys[1:], common[1:]):
+            assert c == next((i for i in range(depth) if a[i] != b[i]), depth)
+        assert [k for k, d in zip(keys, substrings.deep_leaves(common, depth)) if d] == [k for k in keys if keys.count(k) > 1]
+
+
+def test_substrings_small_groups_and_rounds(spark, corpus):
+    """Other windows and prefixes, a bitmap so small that it takes rounds, prefixes that are hot at once, and one word over and over."""
+    rows = [*corpus, (7, "a " * 3000), (8, "b " + "a " * 40), (9, "A " * 34)]
+    texts = docs(spark, rows).select(substrings.text_digest().alias("digest"), "text")
+    want = {}
+    for i, t in rows:
+        w = [x for x in re.split(WHITE, t or "") if x]
+        for k in range(len(w) - 11):
+            want.setdefault(tuple(w[k : k + 12]), []).append((hashlib.md5((t or "").encode()).digest(), k))
+    want = {p for places in want.values() if len(places) > 1 for p in places}
+    for hot, bits in ((1 << 40, 26), (0, 26), (20, 12)):
+        got = substrings.repeated_runs(texts, 12, 5, log2_bits=bits, hot_suffixes=hot).collect()
+        assert {(bytes(r["digest"]), k) for r in got for k in range(r["start"], r["stop"])} == want
+
+
 def test_packing(spark, corpus):
     got = packing.pack(docs(spark, corpus), group_docs=8).collect()
     reference = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

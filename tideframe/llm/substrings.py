@@ -1,171 +1,237 @@
-"""Substring dedup: suffixes dealt by shared word runs into memory-sized groups, whose deep nodes are the repeats."""
+"""Substring dedup: suffixes split by prefixes of variable length into memory-sized groups; the deep internal nodes of each group's suffix tree are the repeats."""
 
 from __future__ import annotations
 
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.llm.common import WordHashes, bitmap, in_bitmap, run_hashes, slices, small_batches, spool, word_hashes
 
 WINDOW = 35
-RUN = 16
+PREFIX = 16
 LOG2_BITS = 26
 CHUNK = 1_000_000
 GROUPS = 256
-GROUP_RUNS = 20_000
-GROUP_WINDOWS = 500_000
-HOT = 2_000
+GROUP_SUFFIXES = 250_000
+HOT = 4_000
 LOG2_HOT_BITS = 22
 
 
-def anchors_of(h: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(runs, anchors): hashes of all runs of `run` words, and for each window the least of those that lie in it. Equal windows have equal anchors."""
-    g = run_hashes(h, run)
-    least, width, want = g, 1, window - run + 1
+def sampled(h: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, places): for each window, hash and place of its sampled suffix, the one whose first `prefix` words have the least hash of all runs inside the window (the first of equals).
+
+    Equal windows sample at equal offsets, so the suffixes that start there meet in one prefix group.
+    """
+    values = run_hashes(h, prefix)
+    places, width, want = np.arange(len(values)), 1, window - prefix + 1
     while width < want:
         step = min(width, want - width)
-        least = np.minimum(least[:-step], least[step:])
+        left, right = places[:-step], places[step:]
+        places = np.where(values[right] < values[left], right, left)
         width += step
-    return g, least
+    return values[places], places
 
 
-def _anchor_counts(window: int, run: int):
+def prefix_counts(window: int, prefix: int):
+    """(prefix, n, suffixes) of each slice of rows: sampled prefixes, in how many places (2 stands for more), and how many windows are under them."""
     def count(batches):
         cache = WordHashes()
         for batch in slices(batches):
-            values, times, windows = [], [], []
+            values, times, under = [], [], []
             for text in batch.column(0).to_pylist():
                 words = text.encode().split() if text else ()
                 if len(words) < window:
                     continue
-                g, least = anchors_of(word_hashes(words, cache), window, run)
-                chosen, under = np.unique(least, return_counts=True)
-                g = np.sort(g)
-                values.append(chosen)
-                windows.append(under)
-                times.append(np.minimum(np.searchsorted(g, chosen, "right") - np.searchsorted(g, chosen, "left"), 2))
+                value, place = sampled(word_hashes(words, cache), window, prefix)
+                cut = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                values.append(value[cut])
+                times.append(np.ones(len(cut)))
+                under.append(np.diff(np.append(cut, len(place))).astype(float))
             if values:
                 value, at = np.unique(np.concatenate(values), return_inverse=True)
-                n = np.minimum(np.bincount(at, np.concatenate(times).astype(float)), 2).astype(np.int8)
-                under = np.bincount(at, np.concatenate(windows).astype(float)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n), pa.array(under)], names=["anchor", "n", "windows"])
+                n = np.minimum(np.bincount(at, np.concatenate(times)), 2).astype(np.int8)
+                suffixes = np.bincount(at, np.concatenate(under)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n), pa.array(suffixes)], names=["prefix", "n", "suffixes"])
 
     return count
 
 
-def _suffixes(bits: np.ndarray, hot: np.ndarray, rounds: int, turn: int, window: int, run: int, groups: int, chunk: int):
-    """Rows (part, row, start, stop, nodes): window starts start..stop-1 under one anchor, with the hash of each whole window (its node at depth `window`).
+_DEALT = pa.schema([("part", pa.int32()), ("digest", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.binary())])
+_DEALT_DDL = "part int, digest binary, start long, stop long, words binary"
+_RUNS = pa.schema([("digest", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
+_RUNS_DDL = "digest binary, start long, stop long"
+
 
-    Windows under a hot anchor are dealt one by one by their own hash instead, so that no anchor fills a group: what surrounds the shared run parts them, equal ones stay together.
-    Rows without nodes are known to repeat: their windows occur twice within the chunk. Of such windows one stands for all in the shuffle.
+def dealt_suffixes(bits: np.ndarray, hot: np.ndarray, rounds: int, turn: int, window: int, prefix: int, groups: int, chunk: int):
+    """Rows (part, digest, start, stop, words): the suffixes start..stop-1 of a text that one sampled prefix covers, with their words up to the depth `window`.
+
+    They go to the group of that prefix. Under a hot prefix each suffix goes to the group of its own longer prefix, all `window` words, so that what follows parts them.
+    Of equal stretches in a chunk of rows one goes out; all of them are repeats, which rows without words tell.
     """
-    def flush(rows, starts, anchors, nodes):
-        row, start, anchor, node = np.concatenate(rows), np.concatenate(starts), np.concatenate(anchors), np.concatenate(nodes)
-        _, first, at, times = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
-        known = times[at] > 1
-        sent = np.zeros(len(node), bool)
-        sent[first] = True
-        for kind in (False, True):
-            mine = np.flatnonzero(known if kind else sent)
-            if not len(mine):
-                continue
-            r, s, a = row[mine], start[mine], anchor[mine]
-            if not kind:
-                a = np.where(in_bitmap(hot, a), node[mine], a)
-            cut = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1) | (not kind) & (a[1:] != a[:-1])))
-            ends = np.append(cut[1:], len(mine))
-            part = (r[cut].view(np.uint64) if kind else a[cut]) % np.uint64(groups)
-            blobs = [b""] * len(cut) if kind else [node[mine[i:j]].tobytes() for i, j in zip(cut, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(r[cut]), pa.array(s[cut]), pa.array(s[cut] + (ends - cut)), pa.array(blobs, pa.binary()), pa.array(np.full(len(cut), kind))], names=["part", "row", "start", "stop", "nodes", "known"])
+    def flush(held):
+        parts: dict[bytes, list[tuple[bytes, int, int, int, int]]] = {}
+        for digest, times, start, stop, part, words in held:
+            parts.setdefault(words, []).append((digest, times, start, stop, part))
+        out = [[], [], [], [], []]
+
+        def row(*values):
+            for column, value in zip(out, values):
+                column.append(value)
+
+        for words, places in parts.items():
+            digest, _, start, stop, part = places[0]
+            row(part, digest, start, stop, words)
+            if len(places) > 1 or places[0][1] > 1:
+                for digest, _, start, stop, _ in places:
+                    row((start * 31 + digest[0]) % groups, digest, start, stop, None)
+        for at in range(0, len(out[0]), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000], f.type) for c, f in zip(out, _DEALT)], schema=_DEALT)
 
     def deal(batches):
-        cache, held, size = WordHashes(), ([], [], [], []), 0
+        cache, held, size, seen = WordHashes(), [], 0, {}
         for batch in slices(batches):
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = text.encode().split() if text else ()
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                if digest in seen:
+                    for entry in seen[digest]:
+                        entry[1] += 1
+                    continue
+                mine = seen[digest] = []
+                words = text.encode().split()
                 if len(words) < window:
                     continue
                 h = word_hashes(words, cache)
-                _, least = anchors_of(h, window, run)
-                mine = in_bitmap(bits, least)
+                value, place = sampled(h, window, prefix)
+                live = in_bitmap(bits, value)
                 if rounds > 1:
-                    mine &= least % np.uint64(rounds) == turn
-                start = np.flatnonzero(mine)
-                if len(start):
-                    for column, values in zip(held, (np.full(len(start), row, np.int64), start, least[start], run_hashes(h, window)[start])):
-                        column.append(values)
-                    size += len(start)
-                    if size >= chunk:
-                        yield from flush(*held)
-                        held, size = ([], [], [], []), 0
-        if size:
-            yield from flush(*held)
+                    live &= value % np.uint64(rounds) == turn
+                if not live.any():
+                    continue
+                split = in_bitmap(hot, value)
+                own = run_hashes(h, window) if (split & live).any() else value
+                cut = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | split[1:]))
+                for a, b in zip(cut.tolist(), np.append(cut[1:], len(value)).tolist()):
+                    if live[a]:
+                        key = own[a] if split[a] else value[a]
+                        mine.append([digest, 1, a, b, int(key % np.uint64(groups)), b" ".join(words[a : b - 1 + window])])
+                        size += b - a
+                held += mine
+            if size + 20 * len(seen) >= chunk:
+                yield from flush(held)
+                held, size, seen = [], 0, {}
+        yield from flush(held)
 
     return deal
 
 
-def _deep_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The window starts of a group whose node (all `window` words) holds more than one leaf; known ones as they are."""
-    known = pdf["known"].to_numpy(bool)
-    rest = pdf[~known]
-    out = [pdf.loc[known, ["row", "start", "stop"]]]
-    if len(rest):
-        sizes = (rest["stop"] - rest["start"]).to_numpy()
-        nodes = np.frombuffer(b"".join(rest["nodes"]), np.uint64)
-        row = np.repeat(rest["row"].to_numpy(), sizes)
-        start = np.repeat(rest["start"].to_numpy() - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(len(nodes))
-        _, at, times = np.unique(nodes, return_inverse=True, return_counts=True)
-        mine = np.flatnonzero(times[at] > 1)
-        if len(mine):
-            r, s = row[mine], start[mine]
-            cut = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)))
-            out.append(pd.DataFrame({"row": r[cut], "start": s[cut], "stop": s[cut] + np.diff(np.append(cut, len(mine)))}))
-    return pd.concat(out)
-
-
-def repeated_runs(texts: DataFrame, window: int = WINDOW, run: int = RUN, log2_bits: int = LOG2_BITS, group_runs: int = GROUP_RUNS, hot_windows: int = HOT) -> DataFrame:
-    """(row, start, stop): the window starts start..stop-1 of texts (row, text) whose words also start a window elsewhere.
-
-    Each window is dealt by its anchor, the least hash among its `run`-word runs, so that all suffixes with one shared run meet. Only anchors that
-    occur twice matter; which they are goes to the tasks as a bitmap of fixed size, in as many rounds as it needs to stay sparse.
-    A group holds the windows of about `group_runs` shared runs, or about GROUP_WINDOWS windows where that is less; a window that a chunk of rows holds many times is sent once,
-    and anchors of more than `hot_windows` windows (a passage in many documents, with other words around it) are split by the whole window's hash. So no passage, however common, fills a group.
+def suffix_tree(words: np.ndarray, leaves: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the leaves (places in words) in the order of their suffixes, and how many words each shares with the one before it, at most `depth`.
+
+    These are the tree's leaves from left to right and the depths of their lowest common ancestors: internal nodes of depth d and more are the runs where common >= d.
+    Ranks of runs of 1, 2, 4, ... words, by doubling, sort the suffixes; the same ranks, taken from the longest down, tell what neighbours share. Words are whole numbers, and so is equality exact.
+    Each leaf must have `depth` words before any end of a stretch, so that what follows does not matter.
+    """
+    ranks, width = [np.unique(words, return_inverse=True)[1].astype(np.int64)], 1
+    while 2 * width <= depth:
+        last = ranks[-1]
+        pair = last[:-width] * (last.max() + 1) + last[width:]
+        ranks.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
+        width *= 2
+    top = ranks[-1]
+    # Two runs of `width` words, the second from `depth - width` on, make up the first `depth` words.
+    order = leaves[np.lexsort((leaves, top[leaves + depth - width], top[leaves]))]
+    common = np.zeros(len(order), np.int64)
+    a, b = order[:-1], order[1:]
+    at = np.zeros(len(a), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        for _ in range(2 if k == len(ranks) - 1 else 1):
+            fits = at + (1 << k) <= depth
+            i = np.flatnonzero(fits)
+            same = ranks[k][a[i] + at[i]] == ranks[k][b[i] + at[i]]
+            at[i[same]] += 1 << k
+    common[1:] = at
+    return order, common
+
+
+def deep_leaves(common: np.ndarray, depth: int) -> np.ndarray:
+    """Which leaves (in order) lie below an internal node of at least that depth: they share so many words with a neighbour."""
+    deep = common >= depth
+    return deep | np.append(deep[1:], False)
+
+
+def _repeats(window: int):
+    def of_group(table: pa.Table) -> pa.Table:
+        known = table.filter(table["words"].is_null())
+        rest = table.filter(table["words"].is_valid())
+        out = [known.select(["digest", "start", "stop"])]
+        if len(rest):
+            ids: dict[bytes, int] = {}
+            stretches = [b.split() for b in rest["words"].to_pylist()]
+            sizes = np.array([len(s) for s in stretches])
+            words = np.fromiter((ids.setdefault(w, len(ids)) for s in stretches for w in s), np.int64, int(sizes.sum()))
+            del stretches
+            count = sizes - window + 1
+            first = np.cumsum(sizes) - sizes
+            stretch = np.repeat(np.arange(len(rest)), count)
+            inside = np.arange(len(stretch)) - np.repeat(np.cumsum(count) - count, count)
+            order, common = suffix_tree(words, first[stretch] + inside, window)
+            found = np.sort(order[deep_leaves(common, window)])
+            if len(found):
+                row = np.searchsorted(first, found, "right") - 1
+                start = rest["start"].to_numpy()[row] + found - first[row]
+                cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)))
+                stop = start[cut] + np.diff(np.append(cut, len(start)))
+                out.append(pa.Table.from_arrays([rest["digest"].take(pa.array(row[cut])), pa.array(start[cut]), pa.array(stop)], names=["digest", "start", "stop"]))
+        return pa.concat_tables([t.cast(_RUNS) for t in out])
+
+    return of_group
+
+
+def repeated_runs(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX, log2_bits: int = LOG2_BITS, group_suffixes: int = GROUP_SUFFIXES, hot_suffixes: int = HOT) -> DataFrame:
+    """(digest, start, stop): the suffixes start..stop-1 of texts (digest, text) whose first `window` words also start a suffix elsewhere; rows may repeat.
+
+    1. Every window samples one suffix inside it by the suffix's first `prefix` words. These prefixes are counted, and only those in two places or more go on:
+       which they are goes to the tasks as a bitmap of fixed size, in as many rounds as it needs to stay sparse.
+    2. A prefix takes all suffixes that it covers, with their words, to its group; a group holds about `group_suffixes`. Prefixes of more than `hot_suffixes` are
+       too short: the suffixes under them are dealt by all of their first `window` words instead. No passage, however common, fills a group, and nothing is dropped.
+    3. A group's suffixes are sorted into a suffix tree, in words and not in hashes. Those below an internal node of depth `window` or more are the repeats.
+       Trees are followed to that depth only, since it decides; a longer repeat is a run of consecutive suffixes.
     """
     small_batches(texts.sparkSession)
-    counts = texts.select("text").mapInArrow(_anchor_counts(window, run), "anchor long, n byte, windows long")
-    shared = spool(counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows")).where("n > 1").select("anchor", "windows"))
-    many, windows = shared.agg(F.count("*"), F.coalesce(F.sum("windows"), F.lit(0))).first()
-    hot = bitmap(shared.where(F.col("windows") > hot_windows), "anchor", LOG2_HOT_BITS)
+    counts = texts.select("text").mapInArrow(prefix_counts(window, prefix), "prefix long, n byte, suffixes long")
+    shared = spool(counts.groupBy("prefix").agg(F.sum("n").alias("n"), F.sum("suffixes").alias("suffixes")).where("n > 1").select("prefix", "suffixes"))
+    many, suffixes = shared.agg(F.count("*"), F.coalesce(F.sum("suffixes"), F.lit(0))).first()
+    hot = bitmap(shared.where(F.col("suffixes") > hot_suffixes), "prefix", LOG2_HOT_BITS)
     rounds = max(1, -(-many // (1 << (log2_bits - 3))))
-    groups = max(GROUPS, -(-many // (group_runs * rounds)), -(-windows // (GROUP_WINDOWS * rounds)))
+    groups = max(GROUPS, -(-suffixes // (group_suffixes * rounds)))
     out = None
     for turn in range(rounds):
-        mine = shared if rounds == 1 else shared.where(F.expr(f"cast(conv(hex(anchor), 16, 10) as decimal(20)) % {rounds} = {turn}"))
-        deal = _suffixes(bitmap(mine, "anchor", log2_bits), hot, rounds, turn, window, run, groups, CHUNK)
-        found = texts.select("row", "text").mapInArrow(deal, "part int, row long, start long, stop long, nodes binary, known boolean").groupBy("part").applyInPandas(_deep_nodes, "row long, start long, stop long")
+        mine = shared if rounds == 1 else shared.where(F.expr(f"cast(conv(hex(prefix), 16, 10) as decimal(20)) % {rounds} = {turn}"))
+        deal = dealt_suffixes(bitmap(mine, "prefix", log2_bits), hot, rounds, turn, window, prefix, groups, CHUNK)
+        found = texts.select("digest", "text").mapInArrow(deal, _DEALT_DDL).groupBy("part").applyInArrow(_repeats(window), _RUNS_DDL)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """docs' doc_id and text with the columns n_words, n_removed (long), kept_sha256 and kept (the kept words, joined by a space).
+def text_digest(text: str | Column = "text") -> Column:
+    """128 bits that stand for a text; rows with equal texts share all results."""
+    return F.unhex(F.md5(text))
 
-    Words are runs of other bytes than ASCII white space, unchanged. A word goes if a window of `window` words that covers it has the same words as a window that starts anywhere else.
-    Null and empty texts have no words; texts shorter than a window keep all; repeated rows are copies, so they lose every window; rows with equal or null ids stay apart.
-    An empty table gives no rows.
-    """
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    runs = repeated_runs(rows.select("row", "text"), window, run).groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
 
+_KEPT = ("n_words", "n_removed", "kept_sha256", "kept")
+
+
+def _cut(window: int, spans: bool):
     def cut(batches):
         for batch in slices(batches):
             out = [[], [], [], []]
-            for text, mine in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            runs = batch.column(2).to_pylist() if spans else [None] * batch.num_rows
+            for text, mine in zip(batch.column(1).to_pylist(), runs):
                 words = text.encode().split() if text else []
                 n = len(words)
                 if mine:
@@ -177,11 +243,37 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
                 kept = b" ".join(words)
                 for column, value in zip(out, (n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode())):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["doc_id", *_KEPT])
+
+    return cut
+
 
-    joined = rows.join(runs, "row", "left").select("doc_id", "text", "runs")
+def _with_bitmap(bits: np.ndarray, want: bool):
+    """Rows (doc_id, text, digest, place) whose place is, or is not, in a bitmap."""
+    def keep(batches):
+        for batch in slices(batches):
+            mine = np.flatnonzero(in_bitmap(bits, batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)) == want)
+            if len(mine):
+                yield batch.take(pa.array(mine))
+
+    return keep
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+    """docs' doc_id with the columns n_words, n_removed (long), kept_sha256 and kept (the kept words, joined by a space).
+
+    Words are runs of other bytes than ASCII white space, unchanged. A word goes if a window of `window` words that covers it has the same words as a window that starts anywhere else.
+    Null and empty texts have no words; texts shorter than a window keep all; repeated rows are copies, so they lose every window; rows with equal or null ids stay apart.
+    Only doc_id and text are read, so other columns may have any name. An empty table gives no rows. Only texts that hold a repeat are shuffled whole, to meet their runs.
+    """
+    rows = docs.select("doc_id", "text", text_digest().alias("digest"), F.xxhash64(text_digest()).alias("place"))
+    runs = spool(repeated_runs(rows.select("digest", "text"), window, prefix).groupBy("digest").agg(F.collect_set(F.struct("start", "stop")).alias("runs")))
+    bits = bitmap(runs.select(F.xxhash64("digest").alias("place")), "place", LOG2_BITS)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    schema, passed = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string", f"doc_id {kind}, text string, digest binary, place long"
+    clean = rows.mapInArrow(_with_bitmap(bits, False), passed).select("doc_id", "text").mapInArrow(_cut(window, False), schema)
+    rest = rows.mapInArrow(_with_bitmap(bits, True), passed).join(runs, "digest", "left").select("doc_id", "text", "runs").mapInArrow(_cut(window, True), schema)
+    return clean.unionByName(rest)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
