@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.llm.common import WordHashes, bitmap, in_bitmap, run_hashes, slices, small_batches, spool, word_hashes
 
 WINDOW = 35
-PREFIX = 16
+PREFIX = 12
 LOG2_BITS = 26
 CHUNK = 1_000_000
 GROUPS = 256
 GROUP_SUFFIXES = 250_000
-HOT = 4_000
+HOT = 30_000
 LOG2_HOT_BITS = 22
 
 
@@ -37,19 +39,19 @@ def sampled(h: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.nda
 
 
 def prefix_counts(window: int, prefix: int):
-    """(prefix, n, suffixes) of each slice of rows: sampled prefixes, in how many places (2 stands for more), and how many windows are under them."""
+    """(prefix, n, suffixes) of each slice of rows: sampled prefixes, in how many places (2 stands for more), and how many suffixes of different texts are under them."""
     def count(batches):
         cache = WordHashes()
         for batch in slices(batches):
             values, times, under = [], [], []
-            for text in batch.column(0).to_pylist():
+            for text, copies in Counter(batch.column(0).to_pylist()).items():
                 words = text.encode().split() if text else ()
                 if len(words) < window:
                     continue
                 value, place = sampled(word_hashes(words, cache), window, prefix)
                 cut = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
                 values.append(value[cut])
-                times.append(np.ones(len(cut)))
+                times.append(np.full(len(cut), min(copies, 2.0)))
                 under.append(np.diff(np.append(cut, len(place))).astype(float))
             if values:
                 value, at = np.unique(np.concatenate(values), return_inverse=True)
@@ -60,36 +62,50 @@ def prefix_counts(window: int, prefix: int):
     return count
 
 
-_DEALT = pa.schema([("part", pa.int32()), ("digest", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.binary())])
-_DEALT_DDL = "part int, digest binary, start long, stop long, words binary"
+_DEALT = pa.schema([("part", pa.int32()), ("digests", pa.binary()), ("starts", pa.binary()), ("stops", pa.binary()), ("words", pa.binary())])
+_DEALT_DDL = "part int, digests binary, starts binary, stops binary, words binary"
 _RUNS = pa.schema([("digest", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
 _RUNS_DDL = "digest binary, start long, stop long"
 
 
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs start..stop-1 with those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(runs):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], stop))
+        else:
+            out.append((start, stop))
+    return out
+
+
 def dealt_suffixes(bits: np.ndarray, hot: np.ndarray, rounds: int, turn: int, window: int, prefix: int, groups: int, chunk: int):
-    """Rows (part, digest, start, stop, words): the suffixes start..stop-1 of a text that one sampled prefix covers, with their words up to the depth `window`.
+    """For each part of a chunk of rows one row of stretches (digest of the text, start, stop, words): the suffixes start..stop-1 that one sampled prefix covers, with their words up to the depth `window`.
 
     They go to the group of that prefix. Under a hot prefix each suffix goes to the group of its own longer prefix, all `window` words, so that what follows parts them.
-    Of equal stretches in a chunk of rows one goes out; all of them are repeats, which rows without words tell.
+    Of equal stretches in a chunk of rows one goes out; all of them are repeats, which rows without words tell. Words travel compressed.
     """
     def flush(held):
+        packer = zstandard.ZstdCompressor()
         parts: dict[bytes, list[tuple[bytes, int, int, int, int]]] = {}
         for digest, times, start, stop, part, words in held:
             parts.setdefault(words, []).append((digest, times, start, stop, part))
-        out = [[], [], [], [], []]
-
-        def row(*values):
-            for column, value in zip(out, values):
-                column.append(value)
-
+        sent: dict[int, list] = {}
+        known: dict[bytes, list[tuple[int, int]]] = {}
         for words, places in parts.items():
-            digest, _, start, stop, part = places[0]
-            row(part, digest, start, stop, words)
-            if len(places) > 1 or places[0][1] > 1:
+            digest, times, start, stop, part = places[0]
+            sent.setdefault(part, []).append((digest, start, stop, words))
+            if len(places) > 1 or times > 1:
                 for digest, _, start, stop, _ in places:
-                    row((start * 31 + digest[0]) % groups, digest, start, stop, None)
-        for at in range(0, len(out[0]), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000], f.type) for c, f in zip(out, _DEALT)], schema=_DEALT)
+                    known.setdefault(digest, []).append((start, stop))
+        told: dict[int, list] = {}
+        for digest, runs in known.items():
+            told.setdefault(int.from_bytes(digest[:4]) % groups, []).extend((digest, a, b) for a, b in merged(runs))
+        for rows, full in ((sent, True), (told, False)):
+            for part, mine in rows.items():
+                digests, starts, stops, *words = zip(*mine)
+                blob = packer.compress(b"\n".join(words[0])) if full else None
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, b"".join(digests), np.array(starts, np.int64).tobytes(), np.array(stops, np.int64).tobytes(), blob), _DEALT)], schema=_DEALT)
 
     def deal(batches):
         cache, held, size, seen = WordHashes(), [], 0, {}
@@ -164,30 +180,46 @@ def deep_leaves(common: np.ndarray, depth: int) -> np.ndarray:
     return deep | np.append(deep[1:], False)
 
 
-def _repeats(window: int):
+def repeats(stretches: list[bytes], window: int) -> list[list[tuple[int, int]]]:
+    """For each different stretch of words the runs (from, to) of its suffixes whose first `window` words also start another suffix of these stretches, by their suffix tree."""
+    ids: dict[bytes, int] = {}
+    split = [b.split() for b in stretches]
+    sizes = np.array([len(s) for s in split])
+    words = np.fromiter((ids.setdefault(w, len(ids)) for s in split for w in s), np.int64, int(sizes.sum()))
+    del split
+    first, count = np.cumsum(sizes) - sizes, sizes - window + 1
+    leaves = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    order, common = suffix_tree(words, leaves, window)
+    found = np.sort(order[deep_leaves(common, window)])
+    out: list[list[tuple[int, int]]] = [[] for _ in stretches]
+    if len(found):
+        row = np.searchsorted(first, found, "right") - 1
+        cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (found[1:] != found[:-1] + 1)))
+        for r, a, n in zip(row[cut].tolist(), (found[cut] - first[row[cut]]).tolist(), np.diff(np.append(cut, len(found))).tolist()):
+            out[r].append((a, a + n))
+    return out
+
+
+def _group_repeats(window: int):
     def of_group(table: pa.Table) -> pa.Table:
-        known = table.filter(table["words"].is_null())
-        rest = table.filter(table["words"].is_valid())
-        out = [known.select(["digest", "start", "stop"])]
-        if len(rest):
-            ids: dict[bytes, int] = {}
-            stretches = [b.split() for b in rest["words"].to_pylist()]
-            sizes = np.array([len(s) for s in stretches])
-            words = np.fromiter((ids.setdefault(w, len(ids)) for s in stretches for w in s), np.int64, int(sizes.sum()))
-            del stretches
-            count = sizes - window + 1
-            first = np.cumsum(sizes) - sizes
-            stretch = np.repeat(np.arange(len(rest)), count)
-            inside = np.arange(len(stretch)) - np.repeat(np.cumsum(count) - count, count)
-            order, common = suffix_tree(words, first[stretch] + inside, window)
-            found = np.sort(order[deep_leaves(common, window)])
-            if len(found):
-                row = np.searchsorted(first, found, "right") - 1
-                start = rest["start"].to_numpy()[row] + found - first[row]
-                cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)))
-                stop = start[cut] + np.diff(np.append(cut, len(start)))
-                out.append(pa.Table.from_arrays([rest["digest"].take(pa.array(row[cut])), pa.array(start[cut]), pa.array(stop)], names=["digest", "start", "stop"]))
-        return pa.concat_tables([t.cast(_RUNS) for t in out])
+        unpacker = zstandard.ZstdDecompressor()
+        runs: dict[bytes, list[tuple[int, int]]] = {}
+        places: dict[bytes, list[tuple[bytes, int, int]]] = {}
+        for digests, starts, stops, words in zip(*(table[c].to_pylist() for c in ("digests", "starts", "stops", "words"))):
+            mine = [(digests[16 * i : 16 * i + 16], a, b) for i, (a, b) in enumerate(zip(np.frombuffer(starts, np.int64).tolist(), np.frombuffer(stops, np.int64).tolist()))]
+            if words is None:
+                for digest, a, b in mine:
+                    runs.setdefault(digest, []).append((a, b))
+            else:
+                for place, stretch in zip(mine, unpacker.decompress(words).split(b"\n")):
+                    places.setdefault(stretch, []).append(place)
+        stretches = list(places)
+        for stretch, found in zip(stretches, repeats(stretches, window) if stretches else ()):
+            for digest, a, b in places[stretch]:
+                # Equal stretches repeat whole; of one alone, what the tree finds.
+                runs.setdefault(digest, []).extend([(a, b)] if len(places[stretch]) > 1 else [(a + x, a + y) for x, y in found])
+        rows = [(digest, a, b) for digest, mine in runs.items() for a, b in merged(mine)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, _RUNS)], schema=_RUNS)
 
     return of_group
 
@@ -213,7 +245,7 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     for turn in range(rounds):
         mine = shared if rounds == 1 else shared.where(F.expr(f"cast(conv(hex(prefix), 16, 10) as decimal(20)) % {rounds} = {turn}"))
         deal = dealt_suffixes(bitmap(mine, "prefix", log2_bits), hot, rounds, turn, window, prefix, groups, CHUNK)
-        found = texts.select("digest", "text").mapInArrow(deal, _DEALT_DDL).groupBy("part").applyInArrow(_repeats(window), _RUNS_DDL)
+        found = texts.select("digest", "text").mapInArrow(deal, _DEALT_DDL).groupBy("part").applyInArrow(_group_repeats(window), _RUNS_DDL)
         out = found if out is None else out.unionByName(found)
     return out
 
