@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 
 import pandas as pd
+import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,16 @@ from tideframe.llm.common import LOWER_LETTERS, UPPER_LETTERS, WordHashes, bitma
 # The rules of the query (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-# Words that mark a host or path as unwanted, and common words of clean ones; they seed both models.
-UNWANTED = "spam farm pills cheap casino casinos poker bet betting slots jackpot viagra cialis porn xxx sex nude escort adult hookup ads ad track tracker tracking click clicks banner popup malware phishing phish warez crack keygen torrent loan loans payday free win winner prize replica clickbait seo backlink backlinks doorway scam".split()
-ORDINARY = "www blog news home page article articles post posts about help docs wiki shop store index contact search story science health sport sports music book books history world local school city travel food mail forum media photo photos video videos example online site web info data open public library research journal the and for with of in on to best your my our new".split()
+# Words that mark a host or path as unwanted wherever they stand as a word; urls with one are the bad rows that naive Bayes learns from.
+UNWANTED = "ads adserver adware backlinks casino casinos cialis clickbait doorway hookup jackpot keygen malware payday phish phishing porn porno scam scams spam viagra warez xxx".split()
+# Words of one or two letters; other runs as short are no words.
+SHORT = frozenset("a i am an as at be by do go he if in is it me my no of on or so to up us we".split())
 
 LOG2_BITS = 26
 LONGEST = 24
 LEAST_HOSTS = 3
+SEED_WEIGHT = 5
+GENERAL_WEIGHT = 1_000_000
 
 
 def host_path(url: str | Column) -> tuple[Column, Column]:
@@ -42,8 +47,18 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def general_words(ranks: str) -> dict[str, float]:
+    """Shares of words in general language, from a public vocabulary in which frequent words come first: the k-th of its whole words (those that follow a space) weighs 1 / (k + 2). Unwanted words that it lacks come last, so they count as its rarest."""
+    with open(ranks, "rb") as lines:
+        tokens = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, lines))
+    words = dict.fromkeys(w for _, t in tokens if t.startswith(b" ") and (w := t[1:].decode(errors="replace").lower()).isalpha() and (len(w) > 2 or w in SHORT) and len(w) <= LONGEST) | dict.fromkeys(UNWANTED)
+    weights = {w: 1 / (k + 2) for k, w in enumerate(words)}
+    total = sum(weights.values())
+    return {w: x / total for w, x in weights.items()}
+
+
 class Segmenter:
-    """Unigram Viterbi: splits a name into the most probable words."""
+    """Unigram Viterbi: splits a name into the most probable words. Runs of more than LONGEST letters are never one word."""
 
     def __init__(self, counts: dict[str, float], total: float | None = None):
         """counts of words; total is that of all words, where counts has only some."""
@@ -80,15 +95,18 @@ def pieces(host: str, path: str) -> tuple[list[str], list[str]]:
     return re.findall(r"[^\W\d_]+", " ".join(labels[:-1])), re.findall(r"[^\W\d_]+", path.lower())
 
 
-def unigrams(urls: DataFrame) -> DataFrame:
-    """(w, count) of all words, with the seed words added: delimited words of all paths, and host labels that
-    several hosts have; a name that only one host has may be words run together, and must not count as a word."""
-    split = lambda df, c: df.select(F.explode(F.regexp_extract_all(c, F.lit(r"(\p{L}+)"), 1)).alias("w")).where(F.length("w") <= LONGEST).groupBy("w").count()
-    hosts = split(urls.select("host").distinct(), F.regexp_replace("host", r"\.[^.]*$", "")).where(F.col("count") >= LEAST_HOSTS)
-    words = spool(split(urls, F.lower("path")).unionByName(hosts).groupBy("w").agg(F.sum("count").alias("count")))
-    floor = max(50.0, (words.agg(F.sum("count")).first()[0] or 0) / 500)
-    seeds = words.sparkSession.createDataFrame([(w, floor) for w in (*UNWANTED, *ORDINARY)], "w string, count double")
-    return spool(words.select("w", F.col("count").cast("double")).unionByName(seeds).groupBy("w").agg(F.sum("count").alias("count")))
+def unigrams(urls: DataFrame, ranks: str | None = None) -> DataFrame:
+    """(w, count) of words: in how many hosts each stands alone, as a part of the host or of a path, and a general model of at least as much weight.
+
+    A run of letters that few hosts have may be words run together, and must not count as a word. No word counts for its meaning.
+    """
+    runs = lambda c: F.regexp_extract_all(c, F.lit(r"(\p{L}+)"), 1)
+    alone = urls.select("host", F.explode(F.concat(runs(F.regexp_replace("host", r"\.[^.]*$", "")), runs(F.lower("path")))).alias("w")).distinct()
+    words = spool(alone.where(F.length("w").between(3, LONGEST) | F.col("w").isin(*SHORT)).groupBy("w").agg(F.count("*").cast("double").alias("count")).where(F.col("count") >= LEAST_HOSTS))
+    weight = max(float(GENERAL_WEIGHT), words.agg(F.sum("count")).first()[0] or 0.0)
+    general = general_words(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = words.sparkSession.createDataFrame([(w, weight * x) for w, x in general.items()], "w string, count double")
+    return spool(words.unionByName(rows).groupBy("w").agg(F.sum("count").alias("count")))
 
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
@@ -141,32 +159,33 @@ def model_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def naive_bayes(known: DataFrame) -> tuple[DataFrame, float]:
-    """((w, odds) of all words, the prior's odds): log odds, unwanted against clean, learned from all urls, which seed words label."""
+    """((w, odds) of all words, the prior's odds): log odds, unwanted against clean, learned from all urls. Pages have no labels, so a url with an unwanted word is taken as bad and any other as clean."""
     bad = F.exists("words", lambda w: F.substring(w, 3, 1 << 30).isin(UNWANTED))
     rows = known.select("n", bad.cast("long").alias("bad"), "words")
     good = lambda n: [F.sum(F.col(n) * F.col("bad")).alias("bad"), F.sum(F.col(n) * (1 - F.col("bad"))).alias("good")]
     docs = rows.agg(*good("n")).first()
     seen = rows.select("n", "bad", F.explode("words").alias("w")).groupBy("w").agg(*good("n"))
-    seeds = known.sparkSession.createDataFrame([(f"{kind}:{w}", 5, 0) for w in UNWANTED for kind in "hp"], "w string, bad long, good long")
+    seeds = known.sparkSession.createDataFrame([(f"{kind}:{w}", SEED_WEIGHT, 0) for w in UNWANTED for kind in "hp"], "w string, bad long, good long")
     words = spool(seen.unionByName(seeds).groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     size, all_bad, all_good = words.agg(F.count("*") + 1, F.sum("bad"), F.sum("good")).first()
     odds = F.log((F.col("bad") + 1) / F.lit(float(all_bad + size))) - F.log((F.col("good") + 1) / F.lit(float(all_good + size)))
     return words.select("w", odds.alias("odds")), math.log(((docs["bad"] or 0) + 1) / ((docs["good"] or 0) + 1))
 
 
-def url_filter(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", ranks: str | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, score): the longest fitting rule's verdict, else that of naive Bayes over segmented words.
 
     score is the probability that the url is unwanted (0.5 or more: block), whatever the rule says. A null url, or one without `://`,
     has empty host and path; without words the verdict is the prior's, which is allow unless most urls are unwanted.
-    One row for each input row; repeated rows stay; other columns of pages are not carried. Both models hold all words, as tables that names and urls meet by joins.
+    One row for each input row, null and repeated ids too, and repeated rows count as often as they stand there; urls of any length are read whole. Other columns of pages
+    are not carried. An empty table gives no rows. Both models hold all words, as tables that names and urls meet by joins. Viterbi and the words' cut run row by row in Python, each distinct name once.
     """
     host, path = host_path(url)
     urls = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    known = model_words(urls, unigrams(urls))
+    known = model_words(urls, unigrams(urls, ranks))
     odds, prior = naive_bayes(known)
     sums = known.select("host", "path", F.explode("words").alias("w")).join(odds, "w").groupBy("host", "path").agg(F.sum("odds").alias("odds"))
-    x = F.coalesce("odds", F.lit(0.0)) + F.lit(min(prior, -0.1))
+    x = F.coalesce("odds", F.lit(0.0)) + F.lit(prior)
 
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     scored = urls.join(sums, ["host", "path"], "left").withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), x)))))
