@@ -180,11 +180,11 @@ def test_urls_scores(spark):
     for own, label in zip(split, labels):
         for w in own:
             count[label][w] = count[label].get(w, 0) + 1
-    size = len({*count[True], *count[False]}) + 1
-    part = {k: sum(c.values()) + size for k, c in count.items()}
+    all_bad, all_good = (sum(c.values()) for c in (count[True], count[False]))
+    one = 1 / (all_bad + all_good)
     want = []
     for (i, _), own in zip(rows, split):
-        x = np.log((sum(labels) + 1) / (len(rows) - sum(labels) + 1)) + sum(np.log((count[True].get(w, 0) + 1) / part[True]) - np.log((count[False].get(w, 0) + 1) / part[False]) for w in own)
+        x = np.log((sum(labels) + 1) / (len(rows) - sum(labels) + 1)) + sum(np.log(count[True].get(w, 0) / all_bad + one) - np.log(count[False].get(w, 0) / all_good + one) for w in own)
         want.append((i, 1 / (1 + np.exp(-x))))
     assert [i for i, _ in sorted(got)] == [i for i, _ in sorted(want)] and [s for _, s in sorted(got)] == pytest.approx([s for _, s in sorted(want)])
 

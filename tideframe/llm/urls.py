@@ -159,7 +159,9 @@ def model_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def naive_bayes(known: DataFrame) -> tuple[DataFrame, float]:
-    """((w, odds) of all words, the prior's odds): log odds, unwanted against clean, learned from all urls. Pages have no labels, so a url with an unwanted word is taken as bad and any other as clean."""
+    """((w, odds) of all words, the prior's odds): log odds, unwanted against clean, learned from all urls. Pages have no labels, so a url with an unwanted word is taken as bad and any other as clean.
+
+    Each word counts once more than it occurs, shared out by the classes' sizes: a word that neither has says nothing, and a rare word of the larger class never speaks for the smaller."""
     bad = F.exists("words", lambda w: F.substring(w, 3, 1 << 30).isin(UNWANTED))
     rows = known.select("n", bad.cast("long").alias("bad"), "words")
     good = lambda n: [F.sum(F.col(n) * F.col("bad")).alias("bad"), F.sum(F.col(n) * (1 - F.col("bad"))).alias("good")]
@@ -167,8 +169,9 @@ def naive_bayes(known: DataFrame) -> tuple[DataFrame, float]:
     seen = rows.select("n", "bad", F.explode("words").alias("w")).groupBy("w").agg(*good("n"))
     seeds = known.sparkSession.createDataFrame([(f"{kind}:{w}", SEED_WEIGHT, 0) for w in UNWANTED for kind in "hp"], "w string, bad long, good long")
     words = spool(seen.unionByName(seeds).groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
-    size, all_bad, all_good = words.agg(F.count("*") + 1, F.sum("bad"), F.sum("good")).first()
-    odds = F.log((F.col("bad") + 1) / F.lit(float(all_bad + size))) - F.log((F.col("good") + 1) / F.lit(float(all_good + size)))
+    all_bad, all_good = words.agg(F.sum("bad"), F.sum("good")).first()
+    one = 1.0 / (all_bad + all_good)
+    odds = F.log(F.col("bad") / F.lit(float(all_bad)) + one) - F.log(F.col("good") / F.lit(float(all_good or 1)) + one)
     return words.select("w", odds.alias("odds")), math.log(((docs["bad"] or 0) + 1) / ((docs["good"] or 0) + 1))
 
 
