@@ -86,6 +86,12 @@ def span(score: np.ndarray, template: np.ndarray, words: np.ndarray, diagonal: i
     return first, last
 
 
+def lower_in_place(text: str) -> str:
+    """text in lower case, each character in its place: one whose lower case is longer stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 class Scanner:
     """The templates' inverted index, and the alignment of candidates."""
 
@@ -145,7 +151,7 @@ class Scanner:
         return out
 
     def find(self, text: str) -> list[dict]:
-        low = text.lower()
+        low = lower_in_place(text)
         words = self.hashed(_TOKEN.findall(low))
         diagonals: dict[int, set[int]] = {}
         for gram, fingerprints in self.fingerprints.items():
@@ -169,7 +175,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     Words are runs of letters and digits in lower case. A template is a candidate where one of its winnowed fingerprints occurs; it is found if an alignment within
     8 words of that diagonal (or as many as may be missing, where that is more) matches at least `coverage` of its words. Fingerprints have 3 words, or fewer where the template is so short or `coverage` so low that the words
     allowed to differ could break all of 3, and are as dense as it takes that no such text is lost. Coverage is all that is asked: a short notice that names another license
-    in one word is found. Each copy gives its own row, also beside another. Spans are code points of the text in lower case, end exclusive. Templates come from
+    in one word is found. Each copy gives its own row, also beside another. Spans are code points of the text, end exclusive. Other columns are not read and may have any name; texts of any length are read whole. Templates come from
     the caller (a short list) and go to each task. Null and empty texts have none; repeated rows each give theirs; an empty table, or no template, gives no rows.
     """
     small_batches(docs.sparkSession)
