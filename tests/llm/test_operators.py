@@ -65,9 +65,10 @@ def brute_components(rows):
     return sorted(((i, len(s), None if i is None else find(i)) for (i, _), s in zip(rows, sets)), key=str)
 
 
-@pytest.mark.parametrize("tile_rows", [2048, 4])
-def test_jaccard(spark, corpus, tile_rows):
-    got = jaccard.near_duplicates(docs(spark, corpus), heavy=4, tile_rows=tile_rows).collect()
+@pytest.mark.parametrize(("tile_rows", "log2_bits"), [(2048, 24), (4, 8)])
+def test_jaccard(spark, corpus, tile_rows, log2_bits):
+    """In whole tiles, and in bands and blocks of few rows with bitmaps so small that they take rounds."""
+    got = jaccard.near_duplicates(docs(spark, corpus), heavy=4, tile_rows=tile_rows, log2_bits=log2_bits).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(corpus)
 
 

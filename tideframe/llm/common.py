@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -103,6 +104,29 @@ def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+class Chosen:
+    """Part of a set of keys as a bitmap of fixed size: those of one round, at most about one bit in eight."""
+
+    def __init__(self, bits: np.ndarray, rounds: int, turn: int):
+        self.bits, self.rounds, self.turn = bits, rounds, turn
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes may be in the set and are of this round; never false for one that is."""
+        found = in_bitmap(self.bits, h)
+        return found & (h % np.uint64(self.rounds) == self.turn) if self.rounds > 1 else found
+
+
+def chosen(keys: DataFrame, key: str, log2_bits: int) -> list[Chosen]:
+    """Distinct 64-bit keys as bitmaps, in as many rounds as it takes to keep each sparse, however many keys there are."""
+    rounds = max(1, -(-keys.count() // (1 << (log2_bits - 3))))
+    unsigned = F.expr(f"cast(conv(hex({key}), 16, 10) as decimal(20))")
+    return [Chosen(bitmap(keys if rounds == 1 else keys.where(unsigned % rounds == turn), key, log2_bits), rounds, turn) for turn in range(rounds)]
+
+
+def over_rounds(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def id_hash(column: str | Column) -> Column:
     """The 64-bit hash by which ids are put into bitmaps."""
     return F.xxhash64(column)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import LOWER, WordHashes, bitmap, components, id_hash, in_bitmap, mixed, run_hashes, slices, small_batches, spool, word_hashes
+from tideframe.llm.common import LOWER, WordHashes, bitmap, chosen, components, id_hash, in_bitmap, mixed, over_rounds, run_hashes, slices, small_batches, spool, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -22,6 +22,7 @@ TILE_ROWS = 2048
 GROUP_ROWS = 10_000
 LEAST_BITS, MOST_BITS = 256, 65_536
 CHUNK = 2_000_000
+CLOSE = 4
 
 
 def shingles(text: str | None, cache: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -83,48 +84,51 @@ def local_repeats(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "shingle long, n long")
 
 
-def packed(s: np.ndarray) -> bytes:
-    """A set for the shuffle: the leading 48 bits of each sorted hash, 16 of them and then 32."""
+def packed(s: np.ndarray, whole: bool = False) -> bytes:
+    """A set for the shuffle: the leading 48 bits of each sorted hash, 16 of them and then 32; or whole hashes."""
+    if whole:
+        return s.tobytes()
     return (s >> np.uint64(48)).astype("<u2").tobytes() + ((s >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
 
 
-def unpacked(blob: bytes) -> np.ndarray:
+def unpacked(blob: bytes, whole: bool = False) -> np.ndarray:
+    if whole:
+        return np.frombuffer(blob, np.uint64)
     n = len(blob) // 6
     return np.frombuffer(blob, "<u2", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(blob, "<u4", n, 2 * n).astype(np.uint64)
 
 
-def sets_of(docs: DataFrame, ids: np.ndarray, words: int) -> DataFrame:
-    """(doc_id, shingles) of the documents whose id is in a bitmap."""
-    def run(batches):
-        cache = WordHashes()
-        for batch in slices(batches):
-            mine = np.flatnonzero(in_bitmap(ids, batch.column(1).to_numpy().view(np.uint64)))
-            if len(mine):
-                part = batch.take(pa.array(mine))
-                sets = [packed(shingles(t, cache, words)) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+def sets_of(docs: DataFrame, ids: DataFrame, words: int, whole: bool, log2_bits: int) -> DataFrame:
+    """(doc_id, shingles) of the documents with one of the ids (id), and of a few besides that their bitmaps let through."""
+    def run(mine):
+        def of(batches):
+            cache = WordHashes()
+            for batch in slices(batches):
+                wanted = np.flatnonzero(mine.holds(batch.column(1).to_numpy().view(np.uint64)))
+                if len(wanted):
+                    part = batch.take(pa.array(wanted))
+                    sets = [packed(shingles(t, cache, words), whole) for t in part.column(2).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.where("doc_id is not null").select("doc_id", id_hash("doc_id").alias("place"), "text").mapInArrow(run, "doc_id long, shingles binary")
+        return of
 
+    rows = docs.where("doc_id is not null").select("doc_id", id_hash("doc_id").alias("place"), "text")
+    return over_rounds([rows.mapInArrow(run(mine), "doc_id long, shingles binary") for mine in chosen(ids.select(id_hash("id").alias("place")), "place", log2_bits)])
 
-def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose similarity reaches percent: bitmap bound first, then exact intersection.
 
-    Only documents in a pair are read as sets; which they are goes to the tasks as bitmaps of fixed size (what they let through besides, the join drops).
-    Sets travel as 48-bit hashes: two different shingles of a pair of 1,000 words each look the same once in 10**8 pairs.
-    """
-    pairs = spool(pairs.distinct())
+def compared(pairs: DataFrame, docs: DataFrame, percent: int, words: int, whole: bool, log2_bits: int) -> DataFrame:
+    """(a, b, spare) for the pairs (a, b) whose similarity reaches percent: bitmap bound first, then intersection of the sorted sets. spare: how many common shingles more than needed."""
     both = pairs
     for k in ("b", "a"):
-        ids = bitmap(pairs.select(F.col(k).alias("id")).distinct().select(id_hash("id").alias("place")), "place", LOG2_BITS)
-        both = both.join(sets_of(docs, ids, words).withColumnsRenamed({"doc_id": f"doc_id_{k}", "shingles": f"shingles_{k}"}), F.col(k) == F.col(f"doc_id_{k}"))
+        sets = sets_of(docs, pairs.select(F.col(k).alias("id")).distinct(), words, whole, log2_bits)
+        both = both.join(sets.withColumnsRenamed({"doc_id": f"doc_id_{k}", "shingles": f"shingles_{k}"}), F.col(k) == F.col(f"doc_id_{k}"))
 
     def check(batches):
         for batch in slices(batches):
-            keep = []
+            keep, spare = [], []
             a, b, xa, xb = (batch.column(i) for i in range(4))
             for i in range(len(batch)):
-                p, q = unpacked(xa[i].as_py()), unpacked(xb[i].as_py())
+                p, q = unpacked(xa[i].as_py(), whole), unpacked(xb[i].as_py(), whole)
                 least = (len(p) + len(q)) * percent
                 if not len(p) or not len(q):
                     continue
@@ -135,9 +139,22 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int
                 common = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
                 if common * (100 + percent) >= least:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], names=["a", "b"])
+                    spare.append(common - -(-least // (100 + percent)))
+            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64())), pa.array(spare, pa.int64())], names=["a", "b", "spare"])
+
+    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(check, "a long, b long, spare long")
 
-    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(check, "a long, b long").distinct()
+
+def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, log2_bits: int = LOG2_BITS) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose similarity reaches percent.
+
+    Only documents in a pair are read as sets; which they are goes to the tasks as bitmaps of fixed size, in rounds (what they let through besides, the join drops).
+    Sets travel as 48-bit hashes, under which shingles can only look more alike. Pairs that reach percent by fewer than CLOSE common shingles are compared again on whole hashes.
+    """
+    found = spool(compared(spool(pairs.distinct()), docs, percent, words, False, log2_bits))
+    close = found.where(F.col("spare") < CLOSE).select("a", "b").distinct()
+    exact = compared(close, docs, percent, words, True, log2_bits)
+    return found.where(F.col("spare") >= CLOSE).select("a", "b").unionByName(exact.select("a", "b")).distinct()
 
 
 def _facts(heavy: np.ndarray, percent: int, words: int):
@@ -194,7 +211,7 @@ def _tiles(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, heavy: int = HEAVY, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, heavy: int = HEAVY, tile_rows: int = TILE_ROWS, log2_bits: int = LOG2_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text): sets of word shingles, linked where 100 * overlap >= percent * union.
 
     component_id is the smallest doc_id reachable by links. Exact: no link between different sets is lost.
@@ -219,29 +236,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     near = keyed.join(lead, "star").where("lead.doc_id < doc_id").where(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent)
     # Of a document's leads the one that shares most stars is most like it; what this leaves apart the prefixes find.
     best = near.groupBy(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("stars")).groupBy("b").agg(F.max_by("a", F.struct("stars", -F.col("a"))).alias("a"))
-    links = spool(linked(best.select("a", "b"), docs, percent, words))
+    links = spool(linked(best.select("a", "b"), docs, percent, words, log2_bits))
     known = components(links)
 
     nodes = reps.join(known, reps["doc_id"] == known["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
     # Which prefix shingles different sets share is told without moving a prefix: only their hashes and extremes of the sets' digests are summed.
     entries = full.select(F.xxhash64("digest").alias("class"), F.explode("prefix").alias("shingle"))
     open_keys = spool(entries.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle"))
-    wanted = bitmap(open_keys, "shingle", LOG2_BITS)
 
-    def contested(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            row = np.repeat(np.arange(len(batch)), np.diff(offsets))
-            mine = np.flatnonzero(in_bitmap(wanted, flat.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[mine])), pa.array(flat[mine])], names=["doc_id", "shingle"])
+    def contested(mine):
+        def of(batches):
+            for batch in batches:
+                lists = batch.column(1)
+                flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+                row = np.repeat(np.arange(len(batch)), np.diff(offsets))
+                held = np.flatnonzero(mine.holds(flat.view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[held])), pa.array(flat[held])], names=["doc_id", "shingle"])
+
+        return of
 
-    shared = spool(full.select("doc_id", "prefix").mapInArrow(contested, "doc_id long, shingle long").join(open_keys, "shingle").join(nodes, "doc_id").select("doc_id", "shingle", "root"))
+    met_keys = over_rounds([full.select("doc_id", "prefix").mapInArrow(contested(mine), "doc_id long, shingle long") for mine in chosen(open_keys, "shingle", log2_bits)])
+    shared = spool(met_keys.join(open_keys, "shingle").join(nodes, "doc_id").select("doc_id", "shingle", "root"))
     apart = shared.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     met = spool(shared.join(apart, "shingle"))
     # Near copies share most of a prefix: of shingles that the same documents share one is enough.
     members = met.groupBy("shingle").agg(F.count("*").alias("rows"), F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("xor"))
-    keep = members.groupBy("rows", "sum", "xor").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("rows") / tile_rows).cast("int").alias("blocks"))
+    keep = members.groupBy("rows", "sum", "xor").agg(F.min("shingle").alias("shingle")).select("shingle", "rows", F.ceil(F.col("rows") / tile_rows).cast("int").alias("blocks"))
     rows = met.join(keep, "shingle").join(full.select("doc_id", "n", "sig"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A tile is the documents with one shingle; where they are many, those of one size band and the next smaller one, in blocks.
     band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
@@ -249,9 +269,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     whole = F.array(F.struct(F.lit(-1).alias("tile"), F.lit(True).alias("own")))
     dealt = rows.withColumn("t", F.explode(F.when(F.col("blocks") > 1, banded).otherwise(whole))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("shingle", "t.tile", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "doc_id", "root", "n", "sig", "t.own", F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("diagonal"))
-    groups = max(256, -(-met.count() // GROUP_ROWS))
+    copies = keep.agg(F.sum(F.col("rows") * F.when(F.col("blocks") > 1, 2 * F.col("blocks")).otherwise(1))).first()[0]
+    groups = max(256, -(-(copies or 0) // GROUP_ROWS))
     pairs = dealt.groupBy(F.pmod(F.xxhash64("shingle", "tile", "p", "q"), F.lit(groups)).alias("group")).applyInPandas(_tiles(percent), "a long, b long")
-    more = linked(pairs, docs, percent, words)
+    more = linked(pairs, docs, percent, words, log2_bits)
 
     roots = components(links.unionByName(more))
     classes = firsts.join(roots, firsts["first"] == roots["node"], "left").select("digest", F.coalesce("root", "first").alias("component_id"))
