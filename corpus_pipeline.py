@@ -17,32 +17,57 @@ QUALITY_THRESHOLD = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the compression classifier rejects. Learns from the labelled rows of docs outside the held-out fold."""
+    """Drops the documents that the compression classifier rejects (score under the threshold). Learns from the labelled rows of docs outside the held-out fold.
+
+    Null and empty texts are judged as an empty text; repeated rows, and rows that share an id, each by their own text; without labels all stay.
+    Other columns than those of documents go. An empty table stays empty.
+    """
     model = QualityModel.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.scored(docs.select(*COLUMNS)).where(F.col("score") >= QUALITY_THRESHOLD).select(*COLUMNS)
 
 
+def once_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of those that have one doc_id (null counts as one) and one text. Only rows whose id stands there twice are moved; copies meet by digest, after one of each task has been kept."""
+    again = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    if again.isEmpty():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    kept = docs.join(again, same, "left_semi").groupBy("doc_id", F.md5("text").alias("digest")).agg(F.first(row).alias("row")).select("row.*")
+    return spool(docs.join(again, same, "left_anti").unionByName(kept))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates (and all rows without a doc_id)."""
-    found = near_duplicates(docs)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps the document with the smallest doc_id of each group of near duplicates, and of repeated rows one.
+
+    Null texts and those without words are linked with nothing and stay, as do rows without a doc_id. Rows that share an id but not the text are one document: they stay or go together.
+    Other columns than those of documents go. An empty table stays empty.
+    """
+    docs = once_each(docs.select(*COLUMNS))
+    gone = near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item, within its error budget.
+
+    Null and empty texts hold none and stay; repeated rows each stay or go; null and empty items are in no text. Other columns than those of documents go. An empty table stays empty.
+    """
     return matched(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("benchmark_matches") == 0).select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in a text by a mark; n_chars follows."""
+    """Replaces every stretch that secrets cover in a text by a mark; n_chars follows where a text changed.
+
+    No row goes. Null texts stay null, empty ones empty; repeated rows are changed alike. Other columns than those of documents go. An empty table stays empty.
+    """
     text = redacted(F.col("text"), F.col("secret_spans"))
     clean = scan(docs.select(*COLUMNS)).withColumn("clean", text).withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars")))
     return clean.withColumn("text", F.col("clean")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 2048 tokens: one row per piece."""
+    """Packs the documents into sequences of 2048 tokens: one row per piece. Null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows."""
     return pack(docs)
 
 
@@ -54,7 +79,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Classifier, edit matching and tokenizer cannot be put in SQL; tests hold each stage against a brute-force version.
+#: Classifier, edit matching and tokenizer cannot be put in SQL; tests/llm/test_pipeline.py holds each stage against a plain computation of what it must keep and change.
 ORACLE_SQL = None
 
 
