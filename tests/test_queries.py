@@ -1,8 +1,12 @@
 """Query use cases on a small fixture: organisations, users, posts."""
 
+import json
+import random
+
 import pytest
 
-from tideframe.builder import Session
+from tideframe.builder import QueryBuilder, Session
+from tideframe.plans.planner import request_from_json
 from tideframe.plans.request import QueryRequest, SortKey, dependencies, merged_where, relations_in, sub_query
 from tideframe.schema import Catalog, Collection, Field, many, one
 from tideframe.sources.tables import Frames
@@ -123,6 +127,52 @@ def test_pages_by_key_meet_every_row_once(db):
         assert seen == whole
 
 
+def test_pages_by_related_fields(db):
+    for key, direction in (("author.name", "asc"), ("editor.name", "desc"), ("author.org.name", "asc")):
+        for include in ({}, {"author": True}):
+            whole = ids(db.posts.order_by(key, direction).order_by("likes"))
+            seen, cursor = [], None
+            while True:
+                q = db.posts.order_by(key, direction).order_by("likes").include(include)
+                rows, cursor = (q if cursor is None else q.after(*cursor)).page(1)
+                assert all(("author" in r) == bool(include) and not any(f.startswith("__") for f in r.__fields__) for r in rows)
+                seen += [r["id"] for r in rows]
+                if cursor is None:
+                    break
+            assert seen == whole
+
+
+def test_field_named_key(spark):
+    """A field may be called as the engine's own columns once were."""
+    catalog = Catalog(Collection("a", {"id": ID, "key": TEXT}, relations={"bs": many("b", "key")}), Collection("b", {"id": ID, "key": TEXT}, relations={"a": one("a", "key")}))
+    db = Session(spark, catalog, Frames.of_rows(spark, catalog, {"a": [{"id": "1", "key": "x"}, {"id": "2", "key": "y"}], "b": [{"id": "7", "key": "1"}]}))
+    assert ids(db.a.where({"bs": {"id": "7"}})) == ["1"] and ids(db.a.where({"bs": {"$not": {"id": "7"}}})) == ["2"]
+    assert sorted(ids(db.a.where({"$or": [{"bs": {"key": "1"}}, {"key": "y"}]}))) == ["1", "2"]
+    assert ids(db.b.where({"a": {"bs": {"key": "1"}}})) == ["7"]
+
+
+def test_requests_read_back(db):
+    """Every request, written as JSON text and read back, is the same request."""
+    rng = random.Random(2)
+    where = lambda: rng.choice([{}, {"likes": {"$gt": 3}}, {"$or": [{"status": "x"}, {"likes": None}]}])
+    order = lambda keys: tuple(SortKey(rng.choice(keys), rng.choice(["asc", "desc"]), rng.choice([None, "first", "last"])) for _ in range(rng.randrange(3)))
+    for _ in range(100):
+        posts = {"where": where(), "order_by": list(order(["likes", "title"])), "limit": rng.choice([None, 2]), "offset": rng.randrange(2), "include": rng.choice([{}, {"author": True}])}
+        include = rng.choice([{}, {"posts": True}, {"posts": False}, {"posts": posts}, {"posts": {"author": {"org": True}}}, {"org": True, "posts": posts}])
+        q = QueryRequest("users", rng.choice([{}, {"posts": where()}]), include, order(["name", "org.name"]), rng.choice([None, 3]), rng.randrange(3), rng.choice([None, ("a", None)]))
+        back = request_from_json(json.loads(json.dumps(q.to_json())))
+        assert back.to_json() == q.to_json() and back.key() == q.key()
+    q = db.users.where({"role": {"$not": "guest"}}).include({"posts": {"order_by": [("likes", "desc")], "limit": 1}}).order_by("org.name", "desc", nulls="first").after("globex", "b")
+    assert QueryBuilder(db, request_from_json(q.to_json())).get() == q.get()
+
+
+def test_json_numbers(spark):
+    catalog = Catalog(Collection("c", {"id": ID, "data": Field("json")}))
+    db = Session(spark, catalog, Frames.of_rows(spark, catalog, {"c": [{"id": str(i), "data": f'{{"n": {i}, "on": {"true" if i > 5 else "false"}, "s": "v{i}"}}'} for i in (1, 9, 10, 100)]}))
+    assert ids(db.c.where({"data": {"$path": {"$.n": {"$gt": 9}}}})) == ["10", "100"] and ids(db.c.where({"data": {"$path": {"$.n": {"$in": [1, 100]}}}})) == ["1", "100"]
+    assert ids(db.c.where({"data": {"$path": {"$.on": False}}})) == ["1"] and ids(db.c.where({"data": {"$path": {"$.s": "v9", "$.n": 9}}})) == ["9"]
+
+
 def test_includes(db):
     rows = {r["id"]: r for r in db.users.include({"posts": {"order_by": [("likes", "desc")], "limit": 1}, "org": True}).get()}
     assert {k: [p["id"] for p in r["posts"]] for k, r in rows.items()} == {"alice": ["1"], "bob": ["4"], "carol": [], "dan": []}
@@ -188,5 +238,7 @@ def test_plans(db, spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan(db.users.include({"posts": {"order_by": ["likes"], "limit": 1}}).df())
     assert "TakeOrderedAndProject" in plan(db.posts.order_by("likes").limit(2).df())
+    assert plan(db.users.limit(1).include({"posts": {"order_by": ["likes"]}}).df()).index("Window") < plan(db.users.limit(1).include({"posts": {"order_by": ["likes"]}}).df()).index("LeftSemi")
+    assert "Window" not in plan(db.users.include({"posts": True}).df())
     assert "LeftSemi" in plan(db.users.where({"posts": {"status": "draft"}}).df())
     assert "LeftAnti" in plan(db.users.where({"posts": {"$not": {"status": "draft"}}}).df())

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from tideframe.operators import aggregates
 from tideframe.operators.merge import LOG_SCHEMA, Overlaid, empty_log, log_rows
@@ -19,6 +19,10 @@ from tideframe.schema import Catalog
 from tideframe.sources.tables import Cached
 
 
+#: Log rows of single writes that are held as one local table before they become a part of the log's plan.
+BUFFERED = 2000
+
+
 class QueryBuilder:
     """Immutable: every call gives a new builder. Nothing is read before a terminal call."""
 
@@ -78,14 +82,14 @@ class QueryBuilder:
         return (rows[0] if rows else None) if self.single else rows
 
     def page(self, size: int) -> tuple[list, tuple | None]:
-        """One page and the cursor of the next (None after the last): asks for one row more than it returns."""
+        """One page and the cursor of the next (None after the last): asks for one row more than it returns. Sort keys may be related fields; the cursor holds their values."""
         c = self.session.catalog[self.request.resource]
-        keys = [k.key for k in self.request.order_by]
-        if any("." in k for k in keys):
-            raise ValueError("pages are by own fields")
-        rows = self.limit(size + 1).df().collect()
-        names = keys if c.pk in keys else [*keys, c.pk]
-        return rows[:size], tuple(rows[size - 1][n] for n in names) if len(rows) > size and size else None
+        request = self.limit(size + 1).request
+        rows = plan(self.session.catalog, self.session.tables, request, keep=True).collect()
+        names = [f"__sort{i}" if "." in k.key else k.key for i, k in enumerate(request.order_by)]
+        names = names if c.pk in names else [*names, c.pk]
+        cursor = tuple(rows[size - 1][n] for n in names) if len(rows) > size and size else None
+        return [Row(**{n: r[n] for n in r.__fields__ if not n.startswith("__sort")}) for r in rows[:size]], cursor
 
     def count(self) -> int:
         return self.df().count()
@@ -103,9 +107,9 @@ class QueryBuilder:
         c = s.catalog[self.request.resource]
         return aggregates.over_relation(s.catalog, s.tables, self.df(), c, relation, where or {}, measures)
 
-    def subscribe(self, live, listener: Callable[[DataFrame], None]) -> Callable[[], None]:
-        """Tracks this query; returns what ends it."""
-        key = live.track(self.request, listener)
+    def subscribe(self, live, listener: Callable[[DataFrame], None], first: bool = True) -> Callable[[], None]:
+        """Tracks this query; the listener first gets its present rows, as inserts, then every batch's deltas. Returns what ends it."""
+        key = live.track(self.request, listener, first)
         return lambda: live.untrack(key, listener)
 
     def to_json(self) -> dict:
@@ -118,15 +122,23 @@ class Session:
     def __init__(self, spark: SparkSession, catalog: Catalog, base, hooks=None, clock: Callable[[], str] | None = None):
         self.spark, self.catalog, self.base, self.hooks = spark, catalog, base, hooks
         self.clock = clock or (lambda: datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z"))
-        self.log = empty_log(spark)
+        self._stored = empty_log(spark)
+        self._buffer: list[tuple] = []
         self.listeners: list[Callable[[DataFrame], None]] = []
         self._seq = 0
         self._dirty: set[str] = set()
         self._open: list[list[tuple]] = []
 
+    @property
+    def log(self) -> DataFrame:
+        """All writes so far; within a transaction its own too."""
+        rows = self._buffer + [r for part in self._open for r in part]
+        return self._stored.unionByName(self.spark.createDataFrame(rows, LOG_SCHEMA)) if rows else self._stored
+
     @property
     def tables(self):
-        return Cached(Overlaid(self.catalog, self.base, self.log, self._dirty) if self._dirty else self.base)
+        dirty = self._dirty | {r[1] for part in self._open for r in part}
+        return Cached(Overlaid(self.catalog, self.base, self.log, dirty) if dirty else self.base)
 
     def collection(self, name: str) -> QueryBuilder:
         return QueryBuilder(self, QueryRequest(self.catalog[name].name))
@@ -156,11 +168,19 @@ class Session:
         return row
 
     def update(self, name: str, key: Any, values: dict[str, Any], ts: str | None = None, origin: str | None = None) -> dict:
-        """Writes the given fields of one row; returns them."""
+        """Writes the given fields of one row; returns them. A key without a row makes one, since writes may come in any order.
+
+        Hooks on updates see the whole row with the new values in place, which reads it; fields that they change are written too.
+        """
         c = self.catalog[name]
-        row = self._hooked("before_update", name, {**values, c.pk: key})
+        row, now = {**values, c.pk: key}, {}
+        if self.hooks and self.hooks.has(name, "before_update", "after_update"):
+            found = self.collection(name).one(key).get()
+            now = found.asDict() if found else {}
+            whole = self._hooked("before_update", name, {**now, **row})
+            row = {n: v for n, v in whole.items() if n == c.pk or n in values or v != now.get(n)}
         self._write(name, row, ts, origin)
-        self._hooked("after_update", name, row)
+        self._hooked("after_update", name, {**now, **row})
         return {n: v for n, v in row.items() if n != c.pk or n in values}
 
     def _hooked(self, when: str, name: str, row: dict) -> dict:
@@ -181,18 +201,26 @@ class Session:
 
     def _commit(self, rows: list[tuple]) -> None:
         if rows:
-            self.append(self.spark.createDataFrame(rows, LOG_SCHEMA), {r[1] for r in rows})
+            self._buffer += rows
+            self._dirty |= {r[1] for r in rows}
+            if len(self._buffer) > BUFFERED:
+                self._stored, self._buffer = self._stored.unionByName(self.spark.createDataFrame(self._buffer, LOG_SCHEMA)), []
+            if self.listeners:
+                self._tell(self.spark.createDataFrame(rows, LOG_SCHEMA))
 
     def append(self, rows: DataFrame, resources: set[str] | None = None) -> None:
         """Adds log rows, of any number, as one step; listeners get them as one DataFrame."""
-        self.log = self.log.unionByName(rows)
+        self._stored = self._stored.unionByName(rows)
         self._dirty |= set(self.catalog) if resources is None else resources
+        self._tell(rows)
+
+    def _tell(self, rows: DataFrame) -> None:
         for listener in self.listeners:
             listener(rows)
 
     @contextmanager
     def transaction(self):
-        """Writes within are seen and told together at the end, or not at all; one inside another joins it when it ends well."""
+        """Writes within are seen by the session at once and told together at the end, or taken back; one inside another joins it when it ends well."""
         self._open.append([])
         try:
             yield self
@@ -248,5 +276,5 @@ class Optimistic(Session):
 
     def _refold(self) -> None:
         rows = self.replay()
-        self.log = self.confirmed.unionByName(self.spark.createDataFrame(rows, LOG_SCHEMA)) if rows else self.confirmed
+        self._stored = self.confirmed.unionByName(self.spark.createDataFrame(rows, LOG_SCHEMA)) if rows else self.confirmed
         self._dirty = set(self.catalog)

@@ -57,20 +57,24 @@ def converted(value: Column, kind) -> Column:
 def overlaid(base: DataFrame, log: DataFrame, collection: Collection) -> DataFrame:
     """base with the log's last writes in place, and the rows that only the log has. Base values are older than every logged one.
 
-    Rows that only the log has get the defaults of fields that were not written.
+    Rows that only the log has get the defaults of fields that were not written. Base rows are looked up by key in the folded log, a broadcast while that is small, and keep their
+    key as it is, so that what a query asks of keys reaches base; only keys of written rows are looked for in base to tell which are new.
     """
     folded = fold(log, collection).select(F.col("key").alias("__key"), *(F.col(n).alias(f"__{n}") for n in collection.fields))
     pk_type = collection.fields[collection.pk].spark_type
     folded = folded.withColumn("__key", converted(F.col("__key"), pk_type)).where("__key is not null")
-    both = base.select(*collection.fields, F.lit(True).alias("__base")).join(folded, F.col(collection.pk) == F.col("__key"), "full")
-    out = []
-    for n, f in collection.fields.items():
-        if n == collection.pk:
-            out.append(F.coalesce(F.col(n), F.col("__key")).alias(n))
-            continue
-        old = F.when(F.col("__base"), F.col(n)).otherwise(F.lit(f.default).cast(f.spark_type)) if f.default is not None else F.col(n)
-        out.append(F.when(F.col(f"__{n}").isNotNull(), converted(F.col(f"__{n}.value"), f.spark_type)).otherwise(old).alias(n))
-    return both.select(*out)
+    here = base.select(F.col(collection.pk).alias("__here"))
+    new = folded.join(here.join(folded.select("__key"), F.col("__here") == F.col("__key"), "left_semi"), F.col("__key") == F.col("__here"), "left_anti")
+
+    def cell(name, old):
+        return F.when(F.col(f"__{name}").isNotNull(), converted(F.col(f"__{name}.value"), collection.fields[name].spark_type)).otherwise(old).alias(name)
+
+    def made(old, pk):
+        return [F.col(pk).alias(n) if n == collection.pk else cell(n, old(n, f)) for n, f in collection.fields.items()]
+
+    both = base.select(*collection.fields).join(folded, F.col(collection.pk) == F.col("__key"), "left")
+    kept = both.select(*made(lambda n, f: F.col(n), collection.pk))
+    return kept.unionByName(new.select(*made(lambda n, f: F.lit(f.default).cast(f.spark_type), "__key")))
 
 
 def write_times(log: DataFrame, collection: Collection) -> DataFrame:

@@ -14,7 +14,7 @@ from tideframe.schema import Catalog, Collection
 
 
 def sort_columns(catalog: Catalog, tables, df: DataFrame, collection: Collection, keys: tuple[SortKey, ...]) -> tuple[DataFrame, list[str]]:
-    """df with a column for each sort key (an own field's is the field), and their names. Related fields come by left joins along one-relations."""
+    """df with a column for each sort key (an own field's is the field), and their names. Related fields come by left joins along one-relations, unless df has their columns already."""
     joined, names, extra = Joined(catalog, tables, df, collection), [], []
     columns = df.columns
     for i, k in enumerate(keys):
@@ -22,8 +22,10 @@ def sort_columns(catalog: Catalog, tables, df: DataFrame, collection: Collection
         if not path:
             names.append(name if name in df.columns else collection.require(name))
             continue
-        joined.one(tuple(path))
         names.append(f"__sort{i}")
+        if names[-1] in columns:
+            continue
+        joined.one(tuple(path))
         extra.append(joined.column(tuple(path), name).alias(names[-1]))
     return (joined.df.select(*(F.col(f"`{c}`") for c in columns), *extra) if extra else df), names
 
@@ -59,10 +61,10 @@ def after_cursor(columns: list[str], keys: tuple[SortKey, ...], values: tuple) -
     return out
 
 
-def arranged(catalog: Catalog, tables, df: DataFrame, collection: Collection, keys: tuple[SortKey, ...], limit: int | None = None, offset: int = 0, after: tuple | None = None) -> DataFrame:
+def arranged(catalog: Catalog, tables, df: DataFrame, collection: Collection, keys: tuple[SortKey, ...], limit: int | None = None, offset: int = 0, after: tuple | None = None, keep: bool = False) -> DataFrame:
     """df sorted, after the cursor, from offset, cut to limit. Whatever cuts rows off works in a total order; sort and limit together become one top-k.
 
-    A cursor holds a value for each sort key and, where they are not unique alone, the primary key.
+    A cursor holds a value for each sort key, a related field's too, and, where they are not unique alone, the primary key. keep: the columns of related sort keys stay.
     """
     if limit is not None or offset or after is not None:
         keys = with_tiebreak(keys, collection)
@@ -77,4 +79,4 @@ def arranged(catalog: Catalog, tables, df: DataFrame, collection: Collection, ke
         df = df.offset(offset)
     if limit is not None:
         df = df.limit(limit)
-    return df.select(*columns)
+    return df if keep else df.select(*columns)

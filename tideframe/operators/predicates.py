@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tideframe.schema import Catalog, Collection
 
 
+#: Foreign keys of related rows that fit; no field may have this name.
+KEY = "__relation_key"
+
+
 def _compare(op: str, column: Column, value: Any) -> Column:
     if op == "$eq":
         return column.isNull() if value is None else column == F.lit(value)
@@ -45,10 +49,24 @@ def _compare(op: str, column: Column, value: Any) -> Column:
     if op == "$iendsWith":
         return F.endswith(F.lower(column), F.lit(value.lower()))
     if op == "$path":
-        return _all(field_predicate(F.get_json_object(column, path), test) for path, test in value.items())
+        return _all(field_predicate(_json_value(column, path, test), test) for path, test in value.items())
     raise ValueError(f"unknown operator {op!r}")
 
 
+def _json_value(column: Column, path: str, test: Any) -> Column:
+    """The value at a path of a JSON column, in the type that the test compares with: number, truth value or text."""
+    text = F.get_json_object(column, path)
+    values = [test]
+    while any(isinstance(v, (dict, list, tuple)) for v in values):
+        values = [x for v in values for x in (v.values() if isinstance(v, dict) else v if isinstance(v, (list, tuple)) else [v])]
+    values = [v for v in values if v is not None]
+    if values and all(isinstance(v, bool) for v in values):
+        return text.try_cast("boolean")
+    if values and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
+        return text.try_cast("double")
+    return text
+
+
 def field_predicate(column: Column, test: Any) -> Column:
     """A field's test: a value (equality, null as IS NULL) or operators, all of which must hold. Nulls follow SQL: a comparison with null is not true."""
     if isinstance(test, dict):
@@ -103,7 +121,7 @@ class Joined:
         """Whether a row of the many-relation fits, as a mark joined by distinct keys: usable under any connective."""
         self._marks += 1
         mark, key = f"__mark{self._marks}", f"__key{self._marks}"
-        keys = self.matching_keys(path, name, where).select(F.col("key").alias(key)).distinct().withColumn(mark, F.lit(True))
+        keys = self.matching_keys(path, name, where).select(F.col(KEY).alias(key)).distinct().withColumn(mark, F.lit(True))
         self.df = self.df.join(keys, self.column(path, self.at(path).pk) == F.col(key), "left")
         return F.col(mark).isNotNull()
 
@@ -111,7 +129,7 @@ class Joined:
         relation = self.at(path).relation(name)
         child = self.catalog[relation.target]
         fit = filtered(self.catalog, self.tables, self.tables[child.name], child, where)
-        return fit.select(F.col(relation.key).alias("key")).where("key is not null")
+        return fit.where(F.col(relation.key).isNotNull()).select(F.col(relation.key).alias(KEY))
 
     def predicate(self, where: dict, path: tuple[str, ...] = ()) -> Column:
         parts = []
@@ -163,7 +181,7 @@ def filtered(catalog: Catalog, tables, df: DataFrame, collection: Collection, wh
         if relation and relation.kind == "many" and isinstance(test, dict):
             negated = set(test) == {"$not"}
             keys = joined.matching_keys((), key, test["$not"] if negated else test)
-            joined.df = joined.df.join(keys, F.col(f"`{collection.pk}`") == F.col("key"), "left_anti" if negated else "left_semi")
+            joined.df = joined.df.join(keys, F.col(f"`{collection.pk}`") == F.col(KEY), "left_anti" if negated else "left_semi")
         else:
             parts.append((key, test))
     own = [(k, t) for k, t in parts if k in collection.fields]

@@ -7,7 +7,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
-OPTIONS = ("where", "include", "order_by", "limit", "offset")
+OPTIONS = ("where", "include", "order_by", "limit", "offset", "after")
 
 
 @dataclass(frozen=True)
@@ -50,12 +50,15 @@ class QueryRequest:
                 raise ValueError(f"{name} must be a whole number from 0, not {n!r}")
 
     def to_json(self) -> dict:
-        """The request as plain data."""
+        """The request as plain data; request_from_json reads it back."""
+        return {"resource": self.resource, **self.options()}
+
+    def options(self) -> dict:
+        """All but the resource, as the options of an include are written."""
         return {
-            "resource": self.resource,
             "where": self.where,
-            "include": {k: sub_query("", v).to_json() if v else v for k, v in self.include.items()},
-            "sort": [{"key": s.key, "direction": s.direction, "nulls_first": s.nulls_first} for s in self.order_by],
+            "include": {k: v if v is False else sub_query("", v).options() for k, v in self.include.items()},
+            "order_by": [{"key": s.key, "direction": s.direction, "nulls": "first" if s.nulls_first else "last"} for s in self.order_by],
             "limit": self.limit,
             "offset": self.offset,
             "after": list(self.after) if self.after is not None else None,
@@ -71,7 +74,7 @@ def sub_query(resource: str, value: Any) -> QueryRequest:
     if value is True or value is None:
         return QueryRequest(resource)
     if isinstance(value, QueryRequest):
-        return QueryRequest(resource, value.where, value.include, value.order_by, value.limit, value.offset)
+        return QueryRequest(resource, value.where, value.include, value.order_by, value.limit, value.offset, value.after)
     if not isinstance(value, dict):
         raise ValueError(f"an include is True, options or a map, not {value!r}")
     if not set(value) & set(OPTIONS):
@@ -80,7 +83,8 @@ def sub_query(resource: str, value: Any) -> QueryRequest:
         raise ValueError(f"unknown include options {sorted(unknown)}")
     order = value.get("order_by", ())
     order = [order] if isinstance(order, (str, SortKey, dict)) or (isinstance(order, tuple) and order and all(isinstance(x, str) for x in order) and order[-1] in ("asc", "desc")) else order
-    return QueryRequest(resource, value.get("where") or {}, value.get("include") or {}, tuple(map(SortKey.of, order)), value.get("limit"), value.get("offset", 0))
+    after = value.get("after")
+    return QueryRequest(resource, value.get("where") or {}, value.get("include") or {}, tuple(map(SortKey.of, order or ())), value.get("limit"), value.get("offset") or 0, None if after is None else tuple(after))
 
 
 def merged_where(*wheres: dict | None) -> dict:

@@ -118,6 +118,9 @@ class Hooks:
                 out._hooks.setdefault(key, []).extend(hooks)
         return out
 
+    def has(self, collection: str, *when: str) -> bool:
+        return any((w, collection) in self._hooks for w in when)
+
     def run(self, when: str, collection: str, row: dict) -> dict:
         for hook in self._hooks.get((when, collection), ()):
             got = hook(dict(row))

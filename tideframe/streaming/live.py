@@ -13,7 +13,7 @@ from tideframe.plans.planner import plan
 from tideframe.plans.request import QueryRequest, dependencies
 from tideframe.schema import Catalog
 from tideframe.sources.tables import Cached
-from tideframe.streaming.scope import DELTA_SCHEMA, deltas
+from tideframe.streaming.scope import DELTA_SCHEMA, deltas, inserts
 
 log = logging.getLogger(__name__)
 
@@ -31,10 +31,12 @@ class LiveQueries:
         self._listeners: dict[str, list[Callable[[DataFrame], None]]] = {}
         self._batches = 0
 
-    def track(self, request: QueryRequest, listener: Callable[[DataFrame], None] | None = None) -> str:
-        """Starts to track a request; returns its key. Every batch's deltas go to the listener as a DataFrame."""
+    def track(self, request: QueryRequest, listener: Callable[[DataFrame], None] | None = None, first: bool = False) -> str:
+        """Starts to track a request; returns its key. Every batch's deltas go to the listener as a DataFrame; with first, the present rows before them, as inserts."""
         key = request.key()
         self.requests[key] = request
+        if first and listener:
+            listener(inserts(self.catalog, request, Cached(self.state(1 << 62)), key))
         self._listeners.setdefault(key, []).append(listener)
         return key
 

@@ -83,6 +83,17 @@ def deltas(catalog: Catalog, request: QueryRequest, before, after, touched: dict
     return reduce(DataFrame.unionByName, out)
 
 
+def inserts(catalog: Catalog, request: QueryRequest, state, name: str | None = None) -> DataFrame:
+    """A request's whole scope in one state as rows of DELTA_SCHEMA: what a client starts from."""
+    out = []
+    for path, df in steps(catalog, state, request).items():
+        resource = resource_at(catalog, request, path)
+        c = catalog[resource]
+        parent = F.col("parent").cast("string") if path else F.lit(None).cast("string")
+        out.append(df.select(F.lit(name or request.key()).alias("query"), F.lit(".".join(path)).alias("path"), F.lit(resource).alias("resource"), F.lit("INSERT").alias("op"), parent.alias("parent"), F.col(c.pk).cast("string").alias("id"), payload(c).alias("payload")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def catalog_frame(source, request: QueryRequest) -> DataFrame:
     return source[request.resource]
 
