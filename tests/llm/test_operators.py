@@ -274,6 +274,31 @@ def test_licences_side_by_side(spark):
     assert licences.license_scan(docs(spark, [(1, "a Foo bar"), (2, "foo")]), {"two": "foo bar", "none": "!"}).collect()[0]["coverage"] == 1
 
 
+def test_decontamination_by_brute_force(spark):
+    """Many edited items in texts against the edit distance to every part of a text; repeated items each count, ties go to the match that ends first, long texts are read to their end."""
+    rng = random.Random(18)
+    items = [(n, " ".join(words(rng, 9, 60))) for n in range(25)]
+    items += [items[0], items[0]]
+    texts = []
+    for n in range(60):
+        item = list(items[n % 25][1])
+        for _ in range(n % 5):
+            at = rng.randrange(len(item))
+            item[at : at + 1] = rng.choice([[], ["q"], [item[at], "q"]])
+        texts.append((n, " ".join([*words(rng, rng.randrange(8), 60), "".join(item), *words(rng, rng.randrange(8), 60)])))
+    texts += [(100, items[3][1] + " and again " + items[3][1]), (101, items[4][1] + " x " + items[4][1])]
+    found = decontam.matched(docs(spark, texts + [(102, "zz " * 200_000 + items[5][1])]), spark.createDataFrame(items, "item_id long, text string"), block_chars=300).collect()
+    got = sorted((r["doc_id"], m["item_id"], m["distance"]) for r in found for m in r["benchmark_matches"])
+    want = [(102, 5, 0)]
+    for i, t in texts:
+        for n, item in items:
+            if (d := distance(decontam.normal(item), decontam.normal(t))) <= int(len(decontam.normal(item)) * decontam.ERROR_RATE):
+                want.append((i, n, d))
+    assert got == sorted(want) and len({d for _, _, d in got}) > 2
+    spans = {r["doc_id"]: [(m["start"], m["end"]) for m in r["benchmark_matches"]] for r in found}
+    assert spans[100] == [(0, len(items[3][1]))] and spans[102] == [(600_000, 600_000 + len(items[5][1]))]
+
+
 def longest_common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

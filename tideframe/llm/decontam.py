@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tideframe.llm.common import slices, small_batches
 
+#: Edits allowed for each character of an item: about one changed word in 16 of six letters. Pieces are then 15 characters or so, long enough to be rare by chance.
 ERROR_RATE = 0.06
 BLOCK_CHARS = 4_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -71,10 +72,11 @@ def split(item: str, budget: int) -> list[tuple[int, str]]:
 
 
 class Matcher:
-    """Finds items (id, normalised text) with at most rate * length edits."""
+    """Finds items (id, normalised text, how often it stands in the benchmark) with at most rate * length edits."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
-        self.items = [(i, t, int(len(t) * rate)) for i, t in items if t]
+    def __init__(self, items: list[tuple[int, str, int]], rate: float = ERROR_RATE):
+        self.items = [(i, t, int(len(t) * rate)) for i, t, _ in items if t]
+        self.times = [n for _, t, n in items if t]
         self.peq: dict[int, tuple[dict, dict]] = {}
         at: dict[str, list] = {}
         for n, (_, t, k) in enumerate(self.items):
@@ -117,7 +119,7 @@ class Matcher:
                 length = myers(self.peq[n][1], len(t), plain[max(0, end - len(t) - k) : end][::-1], anchored=True)[1]
                 if places is None:
                     places = normal_places(text)[1]
-                out.append({"item_id": item_id, "distance": distance, "start": places[end - length], "end": places[end - 1] + 1})
+                out += [{"item_id": item_id, "distance": distance, "start": places[end - length], "end": places[end - 1] + 1}] * self.times[n]
         return sorted(out, key=lambda x: (x["item_id"] is None, x["item_id"]))
 
 
@@ -130,15 +132,17 @@ def matched(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, blo
 
     Item and text are compared in lower case with every run of other characters than letters and digits as one space. An item of n such characters is
     found where some part of the text is within floor(rate * n) insertions, deletions and replacements: of its pieces, one more than that many, at least one must occur exactly.
-    Items go to the tasks in blocks of at most about block_chars characters, whose size is summed beforehand; a longer benchmark takes more passes.
+    Of an item's matches the one with the least distance counts, of equal ones the one that ends first. Texts are read whole, however long.
+    Items go to the tasks in blocks of about block_chars characters, equal rows once, whose size is summed beforehand; a longer benchmark takes more passes. Distances run
+    character by character in Python, over the stretches around piece hits only. Columns of docs stay, whatever their names; one named benchmark_matches is replaced.
     Null and empty texts have no match; null and empty items, and those without a letter or digit, are in no text; repeated rows and items each count. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0).groupBy("item_id", "text").agg(F.count("*").alias("times"))
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     at = docs.columns.index("text")
     for block in range(blocks):
-        mine = [(r["item_id"], normal(r["text"])) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
+        mine = [(r["item_id"], normal(r["text"]), r["times"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
         keep = [i for i, c in enumerate(docs.columns) if c != "benchmark_matches"]
         schema = f"{', '.join(f'`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}' for i in keep)}, benchmark_matches {_MATCH_DDL}"
 
