@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import tideframe.write_queries  # noqa: F401  registers its queries with the others
 from tideframe.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"

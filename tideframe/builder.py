@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from tideframe.operators import aggregates
 from tideframe.operators.merge import LOG_SCHEMA, Overlaid, empty_log, log_rows
+from tideframe.operators.ordering import sorted_by
 from tideframe.plans.planner import plan, steps
 from tideframe.plans.request import QueryRequest, SortKey, merged_where
 from tideframe.schema import Catalog
@@ -101,11 +102,18 @@ class QueryBuilder:
         """name=("sum", "field") and the like, over all rows or by fields."""
         return aggregates.grouped(plan(self.session.catalog, self.session.tables, replace(self.request, include={}, order_by=())), by or [], measures, having)
 
-    def with_relation(self, relation: str, where: dict | None = None, **measures) -> DataFrame:
-        """The rows with measures of a many-relation as columns; rows without related ones count 0 and have null sums."""
+    def with_relation(self, relation: str, where: dict | None = None, order_by: list | None = None, **measures) -> DataFrame:
+        """The rows with measures of a many-relation as columns; rows without related ones count 0 and have null sums.
+
+        order_by: measures or own fields to sort by, in the place of the request's sort; then its limit and offset cut the rows by them.
+        """
         s = self.session
         c = s.catalog[self.request.resource]
-        return aggregates.over_relation(s.catalog, s.tables, self.df(), c, relation, where or {}, measures)
+        if order_by is None:
+            return aggregates.over_relation(s.catalog, s.tables, self.df(), c, relation, where or {}, measures)
+        request = replace(self.request, order_by=(), limit=None, offset=0)
+        df = aggregates.over_relation(s.catalog, s.tables, plan(s.catalog, s.tables, request), c, relation, where or {}, measures)
+        return sorted_by(df, c, tuple(map(SortKey.of, order_by)), self.request.limit, self.request.offset)
 
     def subscribe(self, live, listener: Callable[[DataFrame], None], first: bool = True) -> Callable[[], None]:
         """Tracks this query; the listener first gets its present rows, as inserts, then every batch's deltas. Returns what ends it."""

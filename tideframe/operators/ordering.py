@@ -80,3 +80,10 @@ def arranged(catalog: Catalog, tables, df: DataFrame, collection: Collection, ke
     if limit is not None:
         df = df.limit(limit)
     return df if keep else df.select(*columns)
+
+
+def sorted_by(df: DataFrame, collection: Collection, keys: tuple[SortKey, ...], limit: int | None = None, offset: int = 0) -> DataFrame:
+    """df sorted by columns that it has, measures too, then by primary key, and cut."""
+    df = df.orderBy(*(ordered(k.key, k) for k in with_tiebreak(keys, collection)))
+    df = df.offset(offset) if offset else df
+    return df if limit is None else df.limit(limit)

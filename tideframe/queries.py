@@ -12,7 +12,7 @@ from tideframe.builder import QueryBuilder, Session
 from tideframe.functions import values as V
 from tideframe.operators.merge import Overlaid, accepted, exploded_loads, fold, log_of
 from tideframe.schema import Catalog, Collection, Field, many, one
-from tideframe.sources.tables import Cached, Files
+from tideframe.sources.tables import Cached, Files, Frames
 from tideframe.streaming.scope import applied, deltas
 
 _INT, _LONG, _DOUBLE, _TIME = Field(T.IntegerType()), Field(T.LongType()), Field(T.DoubleType()), Field("timestamp")
@@ -95,14 +95,30 @@ for _name, _make, _sql in (
     ("agg_group", lambda s: s.orders.aggregate(["o_orderpriority"], n="count", least=("min", "o_totalprice"), most=("max", "o_totalprice")), "SELECT o_orderpriority, count(*) AS n, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY o_orderpriority"),
     ("agg_having", lambda s: s.customer.aggregate(["c_nationkey"], having={"n": {"$gte": 60}}, n="count"), "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) >= 60"),
     ("relation_agg", lambda s: s.customer.with_relation("events", n_events="count", top=("max", "value")), "SELECT c.*, coalesce(n, 0) AS n_events, top FROM customer c LEFT JOIN (SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY user_id) ON user_id = c_custkey"),
-    ("order_by_agg", lambda s: s.customer.with_relation("orders", {"o_orderstatus": "F"}, n_orders="count").orderBy(F.desc("n_orders"), "c_custkey").limit(15), "SELECT c.*, coalesce(n, 0) AS n_orders FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) ON o_custkey = c_custkey ORDER BY n_orders DESC, c_custkey LIMIT 15"),
+    ("order_by_agg", lambda s: s.customer.limit(15).with_relation("orders", {"o_orderstatus": "F"}, order_by=[("n_orders", "desc")], n_orders="count"), "SELECT c.*, coalesce(n, 0) AS n_orders FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) ON o_custkey = c_custkey ORDER BY n_orders DESC, c_custkey LIMIT 15"),
 ):
     _query(_name, _sql)(_make)
 
 
-@_query("where_is_null", "SELECT c_custkey, event_id FROM customer LEFT JOIN events ON user_id = c_custkey WHERE event_id IS NULL")
-def _where_is_null(s: Session):
-    return s.customer.with_relation("events", event_id=("min", "event_id")).where("event_id is null").select("c_custkey", "event_id")
+def _gaps(s: Session) -> Session:
+    """The same collections with nulls: every 9th order has no priority, every 10th no customer."""
+    orders = s.base["orders"].withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderpriority"))).withColumn("o_custkey", F.when(F.col("o_orderkey") % 10 > 0, F.col("o_custkey")))
+    return Session(s.spark, CATALOG, Frames({**{n: s.base[n] for n in CATALOG}, "orders": orders}))
+
+
+_GAPS = "WITH orders2 AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN o_custkey END AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority END AS o_orderpriority FROM orders) SELECT orders2.* FROM orders2 "
+for _name, _make, _sql in (
+    ("where_is_null", lambda s: _gaps(s).orders.where({"o_orderpriority": None}), "WHERE o_orderpriority IS NULL"),
+    ("where_not_is_null", lambda s: _gaps(s).orders.where({"o_orderpriority": {"$not": None}, "o_custkey": {"$lt": 50}}), "WHERE o_orderpriority IS NOT NULL AND o_custkey < 50"),
+    ("where_explicit_eq", lambda s: _gaps(s).orders.where({"o_orderpriority": {"$eq": "1-URGENT"}}), "WHERE o_orderpriority = '1-URGENT'"),
+    ("where_eq_null", lambda s: _gaps(s).orders.where({"$and": [{"o_custkey": {"$eq": None}}, {"o_orderstatus": {"$eq": "F"}}]}), "WHERE o_custkey IS NULL AND o_orderstatus = 'F'"),
+    ("where_not_explicit_eq", lambda s: _gaps(s).orders.where({"o_orderpriority": {"$not": {"$eq": "1-URGENT"}}}), "WHERE NOT (o_orderpriority = '1-URGENT')"),
+    ("rel_of_null_key", lambda s: _gaps(s).orders.where({"customer": {"$not": {"c_mktsegment": "BUILDING"}}}), "LEFT JOIN customer ON o_custkey = c_custkey WHERE NOT coalesce(c_mktsegment = 'BUILDING', false)"),
+    ("order_nulls_last", lambda s: _gaps(s).orders.order_by("o_orderpriority", nulls="last").limit(4000), "ORDER BY o_orderpriority ASC NULLS LAST, o_orderkey LIMIT 4000"),
+    ("order_nulls_first", lambda s: _gaps(s).orders.order_by("o_orderpriority", "desc", nulls="first").limit(2500), "ORDER BY o_orderpriority DESC NULLS FIRST, o_orderkey LIMIT 2500"),
+    ("order_nulls_default", lambda s: _gaps(s).orders.order_by("customer.c_acctbal", "desc").limit(50).offset(3), "LEFT JOIN customer ON o_custkey = c_custkey ORDER BY c_acctbal DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 3"),
+):
+    _query(_name, _GAPS + _sql)(_make)
 
 
 @_query("where_not_null", "SELECT * FROM events WHERE props IS NOT NULL AND value IS NOT NULL")
@@ -126,10 +142,11 @@ def _include_empty(s: Session):
     return s.customer.include({"events": True}).df().select("c_custkey", F.size("events").cast("long").alias("n_events"))
 
 
-@_query("include_siblings", "SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@_query("include_siblings", "SELECT n_nationkey, (SELECT string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT string_agg(s_name, ',' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _include_siblings(s: Session):
     df = s.nation.include({"customers": True, "suppliers": True, "region": True}).df()
-    return df.select("n_nationkey", F.size("customers").cast("long").alias("customers"), F.size("suppliers").cast("long").alias("suppliers"), "region.r_name")
+    text = lambda c: F.nullif(F.array_join(F.col(c).cast("array<string>"), ","), F.lit(""))
+    return df.select("n_nationkey", text("customers.c_custkey").alias("customers"), text("suppliers.s_name").alias("suppliers"), "region.r_name")
 
 
 @_query("include_filtered", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE c_mktsegment = 'BUILDING'")
@@ -180,10 +197,11 @@ def _flat_levels(s: Session):
     return count(("orders",)).unionByName(count(("orders", "lineitems")))
 
 
-@_query("consolidated_load", "SELECT 'nation' AS resource, count(DISTINCT n_nationkey) AS n FROM nation UNION ALL SELECT 'region', count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier")
+@_query("consolidated_load", "SELECT 'nation' AS resource, n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT DISTINCT 'region', r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
 def _consolidated_load(s: Session):
     include = {"region": True, "suppliers": True}
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("resource"), "n") for name, df in exploded_loads(s.nation.include(include).df(), CATALOG, "nation", include)]
+    loads = exploded_loads(s.nation.include(include).df(), CATALOG, "nation", include)
+    parts = [df.select(F.lit(name).alias("resource"), F.col(CATALOG[name].pk).cast("long").alias("id"), F.col(f"{name[0]}_name").alias("name")) for name, df in loads]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -220,30 +238,37 @@ def _overlay_merge(s: Session):
 
 # Live queries: deltas between two states --------------------------------------------------------------------------
 #: The same change in SQL: every 7th order's price is cut to a tenth, every 11th moves to the next customer.
-_AFTER = "after AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey % 100 + 1 ELSE o_custkey END AS o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN round(o_totalprice / 10, 2) ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders)"
+_AFTER = "after AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey % 100 + 1 ELSE o_custkey END AS o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN floor(o_totalprice / 10) ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders)"
 
 
 def _moved(s: Session):
     """(before, after, touched): the session's tables, and those with the change laid over as a log."""
     orders = s.base["orders"]
-    cut = orders.where("o_orderkey % 7 = 0").select("o_orderkey", F.round(F.col("o_totalprice") / 10, 2).alias("o_totalprice"))
+    cut = orders.where("o_orderkey % 7 = 0").select("o_orderkey", F.floor(F.col("o_totalprice") / 10).cast("double").alias("o_totalprice"))
     moved = orders.where("o_orderkey % 11 = 0").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("o_custkey"))
     log = log_of(cut, CATALOG["orders"], F.lit("1"), F.lit(1)).unionByName(log_of(moved, CATALOG["orders"], F.lit("1"), F.lit(2)))
     return Cached(s.base), Cached(Overlaid(CATALOG, s.base, log, {"orders"})), {"orders": log.select("id").distinct()}
 
 
 def _brief(df: DataFrame) -> DataFrame:
-    return df.select("op", "path", F.col("parent").cast("long").alias("parent"), F.col("id").cast("long").alias("id"), F.array_join(F.array_sort(F.map_keys("payload")), ",").alias("fields"))
+    """Deltas of orders with the names of the fields that they carry, and the values that the change touches."""
+    value = lambda name, kind: F.col("payload")[name].cast(kind)
+    return df.select(
+        "op", "path", F.col("parent").cast("long").alias("parent"), F.col("id").cast("long").alias("id"), F.array_join(F.array_sort(F.map_keys("payload")), ",").alias("fields"),
+        value("o_totalprice", "double").alias("price"), value("o_custkey", "long").alias("customer"), value("o_orderstatus", "string").alias("status"),
+    )
 
 
 _ALL_FIELDS = "'o_custkey,o_orderdate,o_orderkey,o_orderpriority,o_orderstatus,o_totalprice'"
 _CHANGED = "concat_ws(',', CASE WHEN b.o_custkey <> a.o_custkey THEN 'o_custkey' END, CASE WHEN b.o_totalprice <> a.o_totalprice THEN 'o_totalprice' END)"
 _OP = "CASE WHEN b.o_orderkey IS NULL THEN 'INSERT' WHEN a.o_orderkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END"
+_CARRIES = "CASE WHEN a.o_orderkey IS NULL THEN false WHEN b.o_orderkey IS NULL THEN true ELSE b.{0} <> a.{0} END"
+_VALUES = ", ".join(f"CASE WHEN {_CARRIES.format(f)} THEN a.{f} END AS {n}" for f, n in (("o_totalprice", "price"), ("o_custkey", "customer"), ("o_orderstatus", "status")))
 _FIELDS = f"CASE WHEN b.o_orderkey IS NULL THEN {_ALL_FIELDS} WHEN a.o_orderkey IS NULL THEN '' ELSE {_CHANGED} END"
 
 
 def _diff_sql(condition: str, parent: str = "NULL::BIGINT", path: str = "", on: str = "b.o_orderkey = a.o_orderkey") -> str:
-    return f"WITH {_AFTER}, b AS ({condition.format('orders')}), a AS ({condition.format('after')}) SELECT {_OP} AS op, '{path}' AS path, {parent} AS parent, coalesce(b.o_orderkey, a.o_orderkey) AS id, {_FIELDS} AS fields FROM b FULL JOIN a ON {on} WHERE b.o_orderkey IS NULL OR a.o_orderkey IS NULL OR b.o_custkey <> a.o_custkey OR b.o_totalprice <> a.o_totalprice"
+    return f"WITH {_AFTER}, b AS ({condition.format('orders')}), a AS ({condition.format('after')}) SELECT {_OP} AS op, '{path}' AS path, {parent} AS parent, coalesce(b.o_orderkey, a.o_orderkey) AS id, {_FIELDS} AS fields, {_VALUES} FROM b FULL JOIN a ON {on} WHERE b.o_orderkey IS NULL OR a.o_orderkey IS NULL OR b.o_custkey <> a.o_custkey OR b.o_totalprice <> a.o_totalprice"
 
 
 @_query("scope_insert_delete", _diff_sql("SELECT * FROM {} WHERE o_totalprice > 100000"))
@@ -314,7 +339,7 @@ def _coercions(s: Session):
 
 def event_windows(s: Session) -> DataFrame:
     """Event-time windows with a watermark; the same expression runs over a stream."""
-    return s.base["events"].withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return s.events.df().withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 _query("event_time_window", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")(event_windows)
