@@ -1,15 +1,17 @@
 """Writes, merging, deltas of tracked queries, procedures."""
 
 import json
+import pathlib
 import random
 
+import pyspark
 import pytest
 
 from tests.test_queries import CATALOG, ROWS
 from tideframe.builder import Optimistic, Session
 from tideframe.operators.merge import LOG_SCHEMA, Overlaid, accepted, fold, log_rows
 from tideframe.procedures import Hooks, InvalidInput, OneShot, Procedures, fields
-from tideframe.sources.tables import Files, Frames
+from tideframe.sources.tables import Files, Frames, Jdbc
 from tideframe.streaming.live import LiveQueries, write_stream
 from tideframe.streaming.scope import applied, deltas
 
@@ -234,6 +236,35 @@ def test_procedures(spark, base):
         api.call_query(db, "nope")
 
 
+def test_jdbc(spark, base, tmp_path):
+    """Tables of a database; what a query asks of fields is asked of the database."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    if not list((pathlib.Path(pyspark.__file__).parent / "jars").glob("derby-*.jar")):
+        pytest.skip("no database")
+    for name in ("orgs", "users", "posts"):
+        base[name].na.fill("").write.format("jdbc").options(url=url, dbtable=name, driver=driver, createTableColumnTypes=", ".join(f"{n} VARCHAR(40)" for n, t in base[name].dtypes if t == "string")).save()
+    db = Session(spark, CATALOG, Jdbc(spark, CATALOG, url, driver=driver))
+    assert sorted(r["id"] for r in db.posts.where({"author": {"role": "admin"}}).get()) == ["1", "2"]
+    plan = db.posts.where({"likes": {"$gt": 10}}).df()._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(likes" in plan.split("PushedFilters")[1]
+
+
+def test_checks(spark):
+    from tideframe.schema import Catalog, Collection, Field, one
+    from tideframe.sources.checks import duplicates, invalid, orphans
+
+    catalog = Catalog(
+        Collection("a", {"id": Field("id"), "mail": Field("string", unique=True), "kind": Field("enum", values=("x", "y")), "name": Field("string", null=False), "up": Field("reference", references="a")}),
+        Collection("b", {"id": Field("id"), "aId": Field("reference")}, relations={"a": one("a", "aId")}),
+    )
+    rows = [{"id": "1", "mail": "m", "kind": "x", "name": "n", "up": None}, {"id": "2", "mail": "m", "kind": "z", "name": None, "up": "9"}, {"id": "2", "mail": None, "kind": None, "name": "n", "up": "1"}]
+    tables = Frames.of_rows(spark, catalog, {"a": rows, "b": [{"id": "1", "aId": "2"}, {"id": "2", "aId": "5"}, {"id": "3", "aId": None}]})
+    assert sorted(map(tuple, duplicates(catalog, tables, "a").collect())) == [("id", "2", 2), ("mail", "m", 2)]
+    assert [tuple(r) for r in orphans(catalog, tables, "b").collect()] == [("aId", "2", "5")] and [tuple(r) for r in orphans(catalog, tables, "a").collect()] == [("up", "2", "9")]
+    assert sorted(map(tuple, invalid(catalog, tables, "a").collect())) == [("kind", "2", "z"), ("name", "2", None)]
+    assert invalid(catalog, tables, "b").collect() == []
+
+
 def test_sources(spark, base, tmp_path):
     for format in ("parquet", "json", "csv", "orc"):
         for name, df in base.items():
