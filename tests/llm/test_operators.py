@@ -1,6 +1,7 @@
 """Each corpus operator on small tables against a brute-force version, with nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 import tokenizers
 import public_tokenizers
 
-from tideframe.llm import decontam, jaccard, licences, packing, quality, secrets, substrings, topk, toxicity, urls
+from tideframe.llm import decontam, jaccard, licences, packing, quality, registry, secrets, substrings, topk, toxicity, urls
 
 WHITE = "[\x20\x09-\x0d]+"
 SCHEMA = "doc_id long, text string, n long, score double, start string, kept int, row string"
@@ -504,3 +505,15 @@ def test_classifiers(spark):
         empty = labels.where("false")
         assert len({r["score"] for r in run(frame, empty).collect()}) == 1
         assert run(docs(spark, []), labels).collect() == []
+
+
+@pytest.mark.parametrize(("query", "label", "least"), [("op3_quality_classifier", "quality", 0.97), ("op10_toxicity", "toxic", 0.95)])
+def test_held_out(spark, query, label, least):
+    """Accuracy and ranking over the labelled rows that no model has seen."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    got = registry.QUERIES[query](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", label), "doc_id").toPandas()
+    assert len(got) > 500 and (got["predicted"] == got[label]).mean() >= least
+    ranks, good = got["score"].rank(), got[label] == 1
+    assert (ranks[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum()) >= least
