@@ -218,6 +218,20 @@ def test_stream_of_writes(spark, base, tmp_path):
     assert key not in live.requests
 
 
+def test_folded_log(spark, base, tmp_path):
+    """Folds of the log change nothing: deltas and results are those of the whole log, also for a batch that runs again."""
+    rng, seen = random.Random(8), {}
+    batches = [[("posts", {"id": rng.choice("1234567"), "likes": float(rng.randrange(50)), "status": rng.choice(["draft", "published"])}, f"2024-01-{rng.randrange(1, 9):02d}", 10 * n + k) for k in range(3)] for n in range(5)]
+    for every in (2, 100):
+        live = LiveQueries(spark, CATALOG, base, str(tmp_path / f"live-{every}"), fold_every=every)
+        key = live.track(Session(spark, CATALOG, base).posts.where({"status": "published"}).request)
+        told = [sorted((r["op"], r["id"], tuple(sorted(r["payload"].items(), key=str))) for r in live.process(log(spark, *batch), n).collect()) for n, batch in enumerate(batches)]
+        assert told[-1] == sorted((r["op"], r["id"], tuple(sorted(r["payload"].items(), key=str))) for r in live.process(log(spark, *batches[-1]), 4).collect())
+        seen[every] = told, sorted(map(str, live.result(key).collect()))
+        assert live._folds() == ([2, 4] if every == 2 else []) or sorted(live._folds()) == [2, 4]
+    assert seen[2] == seen[100]
+
+
 def test_procedures(spark, base):
     db, calls = Session(spark, CATALOG, base), []
     api = Procedures().use(lambda r, then: (calls.append("outer"), then(r))[1]).use(lambda r, then: (calls.append("inner"), then(r))[1])
@@ -250,7 +264,7 @@ def test_jdbc(spark, base, tmp_path):
 
 
 def test_checks(spark):
-    from tideframe.schema import Catalog, Collection, Field, one
+    from tideframe.schema import Catalog, Collection, Field, mismatches, one
     from tideframe.sources.checks import duplicates, invalid, orphans
 
     catalog = Catalog(
@@ -263,6 +277,7 @@ def test_checks(spark):
     assert [tuple(r) for r in orphans(catalog, tables, "b").collect()] == [("aId", "2", "5")] and [tuple(r) for r in orphans(catalog, tables, "a").collect()] == [("up", "2", "9")]
     assert sorted(map(tuple, invalid(catalog, tables, "a").collect())) == [("kind", "2", "z"), ("name", "2", None)]
     assert invalid(catalog, tables, "b").collect() == []
+    assert mismatches(spark.createDataFrame([(1,)], "id long"), catalog["b"]) == ["aId: missing", "id: bigint, declared string"]
 
 
 def test_sources(spark, base, tmp_path):

@@ -22,11 +22,12 @@ class LiveQueries:
     """Tracks requests over base tables and a log of writes kept in a folder that driver and executors share.
 
     Batch k is written to `log/batch=k` and its deltas to `deltas/batch=k`, both by overwriting, so a batch that runs again after a failure
-    gives the same files. Equal requests are tracked once and counted. A batch's deltas are net: what lies between its ends is not told.
+    gives the same files. Every `fold_every` batches the log so far is written as its last writes only, `folded/upto=k`, so that a batch reads one fold and a few
+    batches, whatever came before. Equal requests are tracked once and counted. A batch's deltas are net: what lies between its ends is not told.
     """
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, base, folder: str):
-        self.spark, self.catalog, self.base, self.folder = spark, catalog, base, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, catalog: Catalog, base, folder: str, fold_every: int = 16):
+        self.spark, self.catalog, self.base, self.folder, self.fold_every = spark, catalog, base, folder.rstrip("/"), fold_every
         self.requests: dict[str, QueryRequest] = {}
         self._listeners: dict[str, list[Callable[[DataFrame], None]]] = {}
         self._batches = 0
@@ -47,10 +48,26 @@ class LiveQueries:
             del self._listeners[key], self.requests[key]
 
     def log_before(self, batch: int) -> DataFrame:
-        """All writes of earlier batches."""
+        """The writes of earlier batches; of those that are folded only the last of each field."""
         if not self._exists(f"{self.folder}/log"):
             return empty_log(self.spark)
-        return self.spark.read.schema(f"{LOG_SCHEMA}, batch long").parquet(f"{self.folder}/log").where(F.col("batch") < batch).drop("batch")
+        upto = max((k for k in self._folds() if k <= batch), default=0)
+        rest = self.spark.read.schema(f"{LOG_SCHEMA}, batch long").parquet(f"{self.folder}/log").where((F.col("batch") >= upto) & (F.col("batch") < batch)).drop("batch")
+        return rest.unionByName(self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.folder}/folded/upto={upto}")) if upto else rest
+
+    def fold_log(self, upto: int) -> None:
+        """Writes the last write of each field before a batch; the fold before it and the batches since are all that is read."""
+        cell = F.max(F.struct(F.coalesce("ts", F.lit("")).alias("at"), "seq", "value", "ts", "origin")).alias("x")
+        last = self.log_before(upto).groupBy("resource", "id", "field").agg(cell)
+        last.select("x.seq", "resource", "id", "field", "x.value", "x.ts", "x.origin").write.mode("overwrite").parquet(f"{self.folder}/folded/upto={upto}")
+
+    def _folds(self) -> list[int]:
+        """The folds that are written to their end."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/folded")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        return [int(f.getPath().getName().removeprefix("upto=")) for f in files.listStatus(path) if self._exists(f"{f.getPath()}/_SUCCESS")]
 
     def state(self, batch: int) -> Overlaid:
         """The tables as they are before a batch."""
@@ -65,6 +82,8 @@ class LiveQueries:
         batch_rows.select(*(c.split()[0] for c in LOG_SCHEMA.split(", "))).write.mode("overwrite").parquet(f"{self.folder}/log/batch={batch}")
         written = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.folder}/log/batch={batch}")
         touched = {r["resource"]: written.where(F.col("resource") == r["resource"]).select("id").distinct() for r in written.select("resource").distinct().collect() if r["resource"] in self.catalog}
+        if batch and batch % self.fold_every == 0 and batch not in self._folds():
+            self.fold_log(batch)
         earlier = self.log_before(batch)
         before = Overlaid(self.catalog, self.base, earlier)
         after = Overlaid(self.catalog, self.base, earlier.unionByName(written))
