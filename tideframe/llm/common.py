@@ -30,10 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def spool(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """df as a table written to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    What was shuffled to make it is not needed any more; Spark deletes such files when the driver's JVM collects the plan, which is asked for here, as it may else take half an hour.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
