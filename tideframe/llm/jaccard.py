@@ -145,6 +145,24 @@ def compared(pairs: DataFrame, docs: DataFrame, percent: int, words: int, whole:
     return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(check, "a long, b long, spare long")
 
 
+def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose signatures (facts: doc_id, n, sig) bound the overlap high enough: a signature is a small part of its set, so only sets that may link are moved."""
+    side = lambda k: facts.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
+
+    def check(batches):
+        for batch in slices(batches):
+            keep = []
+            for i, (n, m, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)))):
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                width = min(len(u), len(v))
+                if int(most_common(n, folded(u, width), m, folded(v, width))) * (100 + percent) >= (n + m) * percent:
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+    return both.mapInArrow(check, "a long, b long")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, log2_bits: int = LOG2_BITS) -> DataFrame:
     """Those of the pairs (a, b) of ids whose similarity reaches percent.
 
@@ -236,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     near = keyed.join(lead, "star").where("lead.doc_id < doc_id").where(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent)
     # Of a document's leads the one that shares most stars is most like it; what this leaves apart the prefixes find.
     best = near.groupBy(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("stars")).groupBy("b").agg(F.max_by("a", F.struct("stars", -F.col("a"))).alias("a"))
-    links = spool(linked(best.select("a", "b"), docs, percent, words, log2_bits))
+    links = spool(linked(possible(best.select("a", "b"), full, percent), docs, percent, words, log2_bits))
     known = components(links)
 
     nodes = reps.join(known, reps["doc_id"] == known["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
