@@ -135,6 +135,24 @@ def test_urls(spark):
     assert urls.Segmenter({"cheap": 9.0, "casino": 9.0, "cas": 1.0}).split("cheapcasino") == ("cheap", "casino")
 
 
+def test_urls_rules_of_the_contract(spark):
+    """Each rule's own word, on its host and a subdomain, and past the end of a longer rule."""
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {h + p: what for what, h, p in urls.RULES} == rules
+    cases = {
+        "http://a.com/en/": "com/en/",
+        "http://example.com/en/6": "com/en/",
+        "http://sub.example.com/en/70": "example.com/en/7",
+        "http://casino.net/de/1": "net/de/",
+        "http://Example.NET/de/7?x": "net/de/",
+        "http://sub.example.net/de/8#f": "example.net/de/8",
+        "http://a.org/es/x": "org/es/",
+    }
+    rows = [(n, u) for n, u in enumerate(cases)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {n: (rule, rules[rule]) for n, rule in enumerate(cases.values())}
+
+
 CLEAN_HOSTS = "betterworld essexbooks alphabet freedom winters sextant sussexnews scunthorpe racetrack trackandfield adsorption grapespamphlet middlesex therapist expertsexchange penisland analytics nightspamphlet leadsman beadspring windscamera gardenclub".split()
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tideframe.llm.common import LOWER_LETTERS, UPPER_LETTERS, WordHashes, bitmap, in_bitmap, spool, word_hashes
 
 # The rules of the query (verdict, host, path).
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 # Words that mark a host or path as unwanted wherever they stand as a word; urls with one are the bad rows that naive Bayes learns from.
 UNWANTED = "ads adserver adware backlinks casino casinos cialis clickbait doorway hookup jackpot keygen malware payday phish phishing porn porno scam scams spam viagra warez xxx".split()
