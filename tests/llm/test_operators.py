@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import tokenizers
 import public_tokenizers
@@ -83,6 +84,32 @@ def test_packed_sets():
     assert (jaccard.unpacked(jaccard.packed(s)) == s >> np.uint64(16)).all() and not len(jaccard.unpacked(b""))
 
 
+def test_open_keys_of_prefixes(spark):
+    """Shared shingles are found in any number of rounds; few others pass the bitmaps, though prefixes are the least hashes of their sets."""
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, (1 << 64) // 5, 80_000, dtype=np.uint64)).view(np.int64)
+    shared = set(keys[::10].tolist())
+    entries = [(1, -5), (2, -5), (1, -6), (1, -6), (1, 7), (3, 7), (2, 8)]
+    got = jaccard.open_keys_of(spark.createDataFrame(entries, "class long, shingle long"), 3).collect()
+    assert sorted(r["shingle"] for r in got) == [-5, 7]
+    full = spark.createDataFrame([(i, part.tolist()) for i, part in enumerate(np.array_split(keys, 40))], "doc_id long, prefix array<long>")
+    rows = jaccard.open_rows(full, spark.createDataFrame([(k,) for k in shared], "shingle long"), 16).collect()
+    let = [r["shingle"] for r in rows]
+    assert shared <= set(let) and len(let) == len(set(let)) and len(let) - len(shared) < 0.2 * (len(keys) - len(shared))
+
+
+def test_thinned_signatures_still_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        pool = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, n)) for n in rng.integers(1, 800, 2))
+        full = [jaccard.signature(x) for x in (a, b)]
+        u, v = (np.frombuffer(x, np.uint64) for x in jaccard.thinned(pd.Series(full)))
+        assert all(len(x) * 8 == max(jaccard.LEAST_BITS // 8, len(y) // 2) for x, y in zip((u, v), full))
+        width = min(len(u), len(v))
+        assert jaccard.most_common(len(a), jaccard.folded(u, width), len(b), jaccard.folded(v, width)) >= len(np.intersect1d(a, b))
+
+
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(2)
     for _ in range(50):

@@ -20,6 +20,7 @@ HEAVY = 64
 LOG2_BITS = 24
 TILE_ROWS = 2048
 GROUP_ROWS = 10_000
+KEY_ROUNDS = 4
 LEAST_BITS, MOST_BITS = 256, 65_536
 CHUNK = 2_000_000
 CLOSE = 4
@@ -147,6 +148,8 @@ def compared(pairs: DataFrame, docs: DataFrame, percent: int, words: int, whole:
 
 def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of ids whose signatures (facts: doc_id, n, sig) bound the overlap high enough: a signature is a small part of its set, so only sets that may link are moved."""
+    ids = spool(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    facts = facts.select("doc_id", "n", "sig").join(ids, "doc_id", "left_semi")
     side = lambda k: facts.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
 
     def check(batches):
@@ -163,6 +166,40 @@ def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def open_keys_of(entries: DataFrame, rounds: int = KEY_ROUNDS) -> DataFrame:
+    """The shingles of entries (class, shingle) that different classes share. Each round takes its part of the shingles, so that only this part of the entries lies on disk as shuffle files at once."""
+    def part(turn):
+        mine = entries.where(F.pmod("shingle", F.lit(rounds)) == turn)
+        return spool(mine.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle"))
+
+    return over_rounds([part(turn) for turn in range(rounds)])
+
+
+def open_rows(full: DataFrame, open_keys: DataFrame, log2_bits: int) -> DataFrame:
+    """(doc_id, shingle) of the prefixes for all open keys, and for a few shingles besides that their bitmaps let through.
+
+    Shingles of prefixes are the least hashes of their sets, so their leading bits are much alike; bitmaps go by the trailing half instead."""
+    def run(mine):
+        def of(batches):
+            for batch in batches:
+                lists = batch.column(1)
+                flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+                row = np.repeat(np.arange(len(batch)), np.diff(offsets))
+                h = flat.view(np.uint64)
+                held = np.flatnonzero(mine.holds(h << np.uint64(32) | h >> np.uint64(32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[held])), pa.array(flat[held])], names=["doc_id", "shingle"])
+
+        return of
+
+    swapped = F.shiftleft("shingle", 32).bitwiseOR(F.shiftrightunsigned("shingle", 32))
+    return over_rounds([full.select("doc_id", "prefix").mapInArrow(run(mine), "doc_id long, shingle long") for mine in chosen(open_keys.select(swapped.alias("place")), "place", log2_bits)])
+
+
+def thinned(sig: pd.Series) -> pd.Series:
+    """Signatures in half as many bits, which bound the overlap less closely."""
+    return sig.map(lambda x: x if x is None else folded(np.frombuffer(x, np.uint64), max(LEAST_BITS // 64, len(x) // 16)).tobytes())
+
+
 def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, log2_bits: int = LOG2_BITS) -> DataFrame:
     """Those of the pairs (a, b) of ids whose similarity reaches percent.
 
@@ -237,7 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     2. Each document is compared with the first of those that share one of a few least hashes (stars), which joins most near copies without comparing them with each other.
     3. Two sets that link share a shingle of their prefixes, in any common order; shingles that are common come last in it.
        Where all documents with a prefix shingle are in one component already there is nothing to do; the others meet in tiles by shingle and size band
-       (split into blocks where there are many), are bounded by their bitmaps, and compared exactly where the bound allows a link.
+       (split into blocks where there are many), are bounded by their bitmaps (halved ones first), and compared exactly where the bound allows a link.
     Null and empty texts, and those of white space only, have an empty set, linked with nothing; repeated rows are each returned; rows that share a doc_id are one node with
     the links of each; a null doc_id is linked with nothing. Only doc_id and text are read. An empty table gives no rows.
     """
@@ -254,33 +291,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     near = keyed.join(lead, "star").where("lead.doc_id < doc_id").where(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent)
     # Of a document's leads the one that shares most stars is most like it; what this leaves apart the prefixes find.
     best = near.groupBy(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("stars")).groupBy("b").agg(F.max_by("a", F.struct("stars", -F.col("a"))).alias("a"))
-    links = spool(linked(possible(best.select("a", "b"), full, percent), docs, percent, words, log2_bits))
+    links = spool(linked(possible(spool(best.select("a", "b")), full, percent), docs, percent, words, log2_bits))
     known = components(links)
 
     nodes = reps.join(known, reps["doc_id"] == known["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
     # Which prefix shingles different sets share is told without moving a prefix: only their hashes and extremes of the sets' digests are summed.
     entries = full.select(F.xxhash64("digest").alias("class"), F.explode("prefix").alias("shingle"))
-    open_keys = spool(entries.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle"))
-
-    def contested(mine):
-        def of(batches):
-            for batch in batches:
-                lists = batch.column(1)
-                flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-                row = np.repeat(np.arange(len(batch)), np.diff(offsets))
-                held = np.flatnonzero(mine.holds(flat.view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[held])), pa.array(flat[held])], names=["doc_id", "shingle"])
-
-        return of
-
-    met_keys = over_rounds([full.select("doc_id", "prefix").mapInArrow(contested(mine), "doc_id long, shingle long") for mine in chosen(open_keys, "shingle", log2_bits)])
-    shared = spool(met_keys.join(open_keys, "shingle").join(nodes, "doc_id").select("doc_id", "shingle", "root"))
+    open_keys = open_keys_of(entries)
+    # What the bitmaps let through besides has one class, so one root, and is not apart below.
+    shared = spool(open_rows(full, open_keys, log2_bits).join(nodes, "doc_id").select("doc_id", "shingle", "root"))
     apart = shared.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     met = spool(shared.join(apart, "shingle"))
     # Near copies share most of a prefix: of shingles that the same documents share one is enough.
     members = met.groupBy("shingle").agg(F.count("*").alias("rows"), F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("xor"))
     keep = members.groupBy("rows", "sum", "xor").agg(F.min("shingle").alias("shingle")).select("shingle", "rows", F.ceil(F.col("rows") / tile_rows).cast("int").alias("blocks"))
-    rows = met.join(keep, "shingle").join(full.select("doc_id", "n", "sig"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = met.join(keep, "shingle").join(full.select("doc_id", "n", F.pandas_udf(thinned, "binary")("sig").alias("sig")), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A tile is the documents with one shingle; where they are many, those of one size band and the next smaller one, in blocks.
     band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
     banded = F.array(F.struct(band.alias("tile"), F.lit(True).alias("own")), F.struct((band + 1).alias("tile"), F.lit(False).alias("own")))
@@ -290,7 +315,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     copies = keep.agg(F.sum(F.col("rows") * F.when(F.col("blocks") > 1, 2 * F.col("blocks")).otherwise(1))).first()[0]
     groups = max(256, -(-(copies or 0) // GROUP_ROWS))
     pairs = dealt.groupBy(F.pmod(F.xxhash64("shingle", "tile", "p", "q"), F.lit(groups)).alias("group")).applyInPandas(_tiles(percent), "a long, b long")
-    more = linked(pairs, docs, percent, words, log2_bits)
+    more = linked(possible(spool(pairs.distinct()), full, percent), docs, percent, words, log2_bits)
 
     roots = components(links.unionByName(more))
     classes = firsts.join(roots, firsts["first"] == roots["node"], "left").select("digest", F.coalesce("root", "first").alias("component_id"))
