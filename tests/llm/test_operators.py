@@ -98,6 +98,45 @@ def test_open_keys_of_prefixes(spark):
     assert shared <= set(let) and len(let) == len(set(let)) and len(let) - len(shared) < 0.2 * (len(keys) - len(shared))
 
 
+def near_copies(rng, n, changes, size=150):
+    """Copies of one text with so many changed words each: alike, but most pairs of them below the limit."""
+    base = words(rng, size, 10_000)
+    out = []
+    for k in range(n):
+        v = list(base)
+        for at in rng.sample(range(size), rng.choice(changes)):
+            v[at] = f"own{k}x{at}"
+        out.append(" ".join(v))
+    return out
+
+
+def test_tiles_make_no_more_rows_than_they_read():
+    """A tile of alike sets of different parts: its pairs grow with the square of the group, its rows and links do not."""
+    sets = [jaccard.shingles(t, jaccard.WordHashes()) for t in near_copies(random.Random(8), 120, (1, 2, 4))]
+    rows = [(7, -1, 0, 0, i, i, len(s), jaccard.signature(s), True, 0, True) for i, s in enumerate(sets)]
+    tile = pd.DataFrame(rows, columns=["shingle", "tile", "p", "q", "doc_id", "root", "n", "sig", "own", "side", "diagonal"])
+    alike = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 180 * len(np.intersect1d(a, b)) >= 80 * (len(a) + len(b))}
+    assert len(alike) > 5 * len(sets)
+    again = pd.concat([tile, tile.assign(shingle=8), tile.head(1).assign(shingle=9)])
+    got = jaccard._tiles(80)(again)
+    assert len(got) <= len(tile) and {i for p in alike for i in p} <= set(got["doc_id"]) and (got["doc_id"] == got["other"]).all()
+    listed = jaccard._tiles(80, 1000)(again)
+    assert alike <= set(zip(listed["doc_id"], listed["other"])) and (listed["doc_id"] < listed["other"]).all()
+    links = list(jaccard._tile_links(tile["doc_id"].to_numpy(), tile["root"].to_numpy(), tile["side"].to_numpy(), True, sets, 80))
+    assert set(links) <= alike and len(links) < len(sets)
+    assert len(jaccard._tiles(80)(tile.assign(root=3))) == 0
+
+
+@pytest.mark.parametrize(("tile_rows", "tile_shingles", "pairs_a_row"), [(2048, 1_000_000, 0), (16, 1000, 1)])
+def test_jaccard_of_a_large_group_of_near_copies(spark, tile_rows, tile_shingles, pairs_a_row):
+    """Links of a group that lies about the limit, some texts under one id, in whole tiles and in blocks, all by whole sets or some listed."""
+    rng = random.Random(9)
+    texts = near_copies(rng, 90, (1, 2, 3, 9)) + near_copies(rng, 30, (0, 1, 12), 60)
+    rows = [(i + 1 - (i % 40 == 7), t) for i, t in enumerate(texts)]
+    got = jaccard.near_duplicates(docs(spark, rows), heavy=20, tile_rows=tile_rows, tile_shingles=tile_shingles, pairs_a_row=pairs_a_row).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows)
+
+
 def test_thinned_signatures_still_bound_the_overlap():
     rng = np.random.default_rng(6)
     for _ in range(50):

@@ -20,6 +20,8 @@ HEAVY = 64
 LOG2_BITS = 24
 TILE_ROWS = 2048
 GROUP_ROWS = 10_000
+TILE_SHINGLES = 1_000_000
+PAIRS_A_ROW = 16
 KEY_ROUNDS = 4
 LEAST_BITS, MOST_BITS = 256, 65_536
 CHUNK = 2_000_000
@@ -37,9 +39,9 @@ def shingles(text: str | None, cache: WordHashes, words: int = WORDS) -> np.ndar
     return np.unique(run_hashes(h, words))
 
 
-def signature(s: np.ndarray) -> bytes:
-    """A bitmap of at least twice as many bits as there are shingles (a power of two, at most MOST_BITS)."""
-    width = min(MOST_BITS, max(LEAST_BITS, 2 << (len(s) - 1).bit_length()))
+def signature(s: np.ndarray, times: int = 2) -> bytes:
+    """A bitmap of at least so many times (a power of two) as many bits as there are shingles (a power of two, at most MOST_BITS)."""
+    width = min(MOST_BITS, max(LEAST_BITS, times << (len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -234,39 +236,124 @@ def _facts(heavy: np.ndarray, percent: int, words: int):
     return run
 
 
-def _tile_pairs(ids, roots, sizes, own, side, diagonal, sigs, percent):
-    """Pairs of a tile's rows that may link: of different parts, sizes near enough, bitmap bound high enough. At least one of a pair is of the tile's own band."""
+def _at_width(sigs: list[np.ndarray], width: int) -> np.ndarray:
+    """The signatures in so many words; those that are shorter are left out (zeros)."""
+    return np.stack([folded(s, width) if len(s) >= width else np.zeros(width, np.uint64) for s in sigs])
+
+
+def _tile_hits(roots, sizes, own, side, diagonal, sigs, percent, most):
+    """Which of a tile's rows may link with another, and the pairs (None if over most for each such row): of different parts, sizes near enough, bitmap bound high enough.
+    At least one of a pair is of the tile's own band."""
     widths = np.array([len(s) for s in sigs])
     at_width: dict[int, np.ndarray] = {}
+    hit, place, pairs, count = np.zeros(len(roots), bool), np.arange(len(roots)), [], 0
     for i in np.flatnonzero(own):
         near = (roots != roots[i]) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent)
-        near &= (~own | (ids > ids[i])) if diagonal else (side != side[i])
+        near &= (~own | (place > i)) if diagonal else (side != side[i])
+        if count > most * len(roots):
+            near &= ~(hit & hit[i])
         near = np.flatnonzero(near)
         if len(near):
             # Rows of like size have like widths: folded no further than that, a bitmap does not fill up.
             width = min(widths[i], widths[near].min())
             if width not in at_width:
-                at_width[width] = np.stack([folded(s, width) if len(s) >= width else np.zeros(width, np.uint64) for s in sigs])
+                at_width[width] = _at_width(sigs, width)
             bound = most_common(int(sizes[i]), at_width[width][i], sizes[near], at_width[width][near])
-            for j in near[bound * (100 + percent) >= (sizes[i] + sizes[near]) * percent]:
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
-
-
-def _tiles(percent: int):
-    """Candidate pairs of a group of tiles, each pair once."""
+            near = near[bound * (100 + percent) >= (sizes[i] + sizes[near]) * percent]
+            hit[near] = True
+            hit[i] |= len(near) > 0
+            count += len(near)
+            if count <= most * len(roots):
+                pairs.append(np.column_stack([np.full(len(near), i), near]))
+    return hit, (np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)) if count <= most * hit.sum() else None
+
+
+def _tiles(percent: int, most: int = PAIRS_A_ROW):
+    """Candidate pairs (doc_id, other) of a group of tiles, each pair once. Of a tile with over so many pairs for each document in one, these documents instead (other is doc_id),
+    with the tile: so the rows made grow with those read. Of tiles with the same such documents one is enough."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["shingle", "tile", "p", "q"], kind="stable", ignore_index=True)
         key = pdf[["shingle", "tile", "p", "q"]].to_numpy(np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))), len(pdf)) if len(pdf) else [0]
-        columns = [pdf[c].to_numpy() for c in ("doc_id", "root", "n", "own", "side")]
-        diagonal, sigs = pdf["diagonal"].to_numpy(bool), [np.frombuffer(x, np.uint64) for x in pdf["sig"]]
-        pairs = {pair for a, b in zip(cuts, cuts[1:]) if b - a > 1 for pair in _tile_pairs(*(c[a:b] for c in columns), diagonal[a], sigs[a:b], percent)}
-        return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype=np.int64)
+        columns = [pdf[c].to_numpy() for c in ("root", "n", "own", "side")]
+        diagonal, sigs, ids = pdf["diagonal"].to_numpy(bool), [np.frombuffer(x, np.uint64) for x in pdf["sig"]], pdf["doc_id"].to_numpy()
+        few, seen, rows = set(), set(), []
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                hit, pairs = _tile_hits(*(c[a:b] for c in columns), diagonal[a], sigs[a:b], percent, most)
+                if pairs is not None:
+                    few.update(map(tuple, np.sort(ids[a + pairs], axis=1).tolist()))
+                    continue
+                hit = a + np.flatnonzero(hit)
+                hit = hit[np.unique(ids[hit], return_index=True)[1]]
+                if (same := ids[hit].tobytes()) not in seen:
+                    seen.add(same)
+                    rows.append(hit)
+        many = pdf.loc[np.concatenate(rows) if rows else [], ["shingle", "tile", "p", "q", "doc_id", "root", "n"]].assign(other=lambda x: x["doc_id"])
+        pairs = pd.DataFrame(sorted(few), columns=["doc_id", "other"], dtype=np.int64).assign(shingle=0, tile=0, p=0, q=0, root=0, n=0)
+        return pd.concat([many, pairs[many.columns]], ignore_index=True)
+
+    return run
+
+
+def _tile_links(ids, roots, sides, diagonal, sets, percent):
+    """Links between a tile's documents that join all parts which its links join: exact, and fewer than its rows. Pairs of one part, or of parts joined already, are not compared."""
+    sizes, sigs = np.array([len(s) for s in sets]), [np.frombuffer(signature(s, 8), np.uint64) for s in sets]
+    widths = np.array([len(s) for s in sigs])
+    at_width: dict[int, np.ndarray] = {}
+    part, place = np.unique(roots, return_inverse=True)[1], np.arange(len(roots))
+    for i in place:
+        near = (part != part[i]) & (place > i) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent)
+        near = np.flatnonzero(near if diagonal else near & (sides != sides[i]))
+        if not len(near):
+            continue
+        width = min(widths[i], widths[near].min())
+        if width not in at_width:
+            at_width[width] = _at_width(sigs, width)
+        bound = most_common(int(sizes[i]), at_width[width][i], sizes[near], at_width[width][near])
+        able = bound * (100 + percent) >= (sizes[i] + sizes[near]) * percent
+        near, bound = near[able], bound[able]
+        for j in near[np.argsort(-bound / (sizes[i] + sizes[near]), kind="stable")]:
+            if part[j] == part[i]:
+                continue
+            p, q = sets[i], sets[j]
+            common = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+            if common * (100 + percent) >= (len(p) + len(q)) * percent:
+                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+                part[part == part[j]] = part[i]
+
+
+def _links(percent: int):
+    """The links of a group of tiles."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = set()
+        for (_, p, q), rows in pdf.groupby(["key", "p", "q"]):
+            sets = [unpacked(x, True) for x in rows["shingles"]]
+            out.update(_tile_links(*(rows[c].to_numpy() for c in ("doc_id", "root", "side")), p == q, sets, percent))
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, heavy: int = HEAVY, tile_rows: int = TILE_ROWS, log2_bits: int = LOG2_BITS) -> DataFrame:
+def one_of_equal(rows: DataFrame, key: str) -> DataFrame:
+    """(key, rows, n) of the keys of rows (key, doc_id, n): of those with the same documents one, n the sum."""
+    members = rows.groupBy(key).agg(F.count("*").alias("rows"), F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("xor"), F.sum("n").alias("n"))
+    return members.groupBy("rows", "sum", "xor").agg(F.min(key).alias(key), F.max("n").alias("n")).select(key, "rows", "n")
+
+
+def joining(hits: DataFrame, docs: DataFrame, percent: int, words: int, log2_bits: int, tile_shingles: int) -> DataFrame:
+    """Links (a, b) that join what the documents with one key in hits (key, doc_id, root, n) link. A key's whole sets meet in one task, in blocks where they are large."""
+    keep = spool(one_of_equal(hits, "key").select("key", "n", F.ceil(F.col("n") / tile_shingles).cast("int").alias("blocks")))
+    rows = spool(hits.select("key", "doc_id", "root").join(keep.select("key", "blocks"), "key"))
+    rows = rows.join(sets_of(docs, rows.select(F.col("doc_id").alias("id")).distinct(), words, True, log2_bits).where(F.length("shingles") > 0), "doc_id")
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "doc_id", "root", "side", "shingles")
+    copies = keep.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
+    groups = max(256, -(-(copies or 0) // tile_shingles))
+    return dealt.groupBy(F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups)).alias("group")).applyInPandas(_links(percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, heavy: int = HEAVY, tile_rows: int = TILE_ROWS, log2_bits: int = LOG2_BITS, tile_shingles: int = TILE_SHINGLES, pairs_a_row: int = PAIRS_A_ROW) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text): sets of word shingles, linked where 100 * overlap >= percent * union.
 
     component_id is the smallest doc_id reachable by links. Exact: no link between different sets is lost.
@@ -274,7 +361,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     2. Each document is compared with the first of those that share one of a few least hashes (stars), which joins most near copies without comparing them with each other.
     3. Two sets that link share a shingle of their prefixes, in any common order; shingles that are common come last in it.
        Where all documents with a prefix shingle are in one component already there is nothing to do; the others meet in tiles by shingle and size band
-       (split into blocks where there are many), are bounded by their bitmaps (halved ones first), and compared exactly where the bound allows a link.
+       (split into blocks where there are many). Pairs that halved bitmaps allow are bounded by whole ones and compared exactly. A tile with many pairs for each of
+       its documents does not list them: the whole sets of these documents meet once more, and of their exact links those that join parts are returned,
+       so no step makes rows with the square of a group.
     Null and empty texts, and those of white space only, have an empty set, linked with nothing; repeated rows are each returned; rows that share a doc_id are one node with
     the links of each; a null doc_id is linked with nothing. Only doc_id and text are read. An empty table gives no rows.
     """
@@ -303,8 +392,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     apart = shared.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     met = spool(shared.join(apart, "shingle"))
     # Near copies share most of a prefix: of shingles that the same documents share one is enough.
-    members = met.groupBy("shingle").agg(F.count("*").alias("rows"), F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("xor"))
-    keep = members.groupBy("rows", "sum", "xor").agg(F.min("shingle").alias("shingle")).select("shingle", "rows", F.ceil(F.col("rows") / tile_rows).cast("int").alias("blocks"))
+    keep = one_of_equal(met.withColumn("n", F.lit(1)), "shingle").select("shingle", "rows", F.ceil(F.col("rows") / tile_rows).cast("int").alias("blocks"))
     rows = met.join(keep, "shingle").join(full.select("doc_id", "n", F.pandas_udf(thinned, "binary")("sig").alias("sig")), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A tile is the documents with one shingle; where they are many, those of one size band and the next smaller one, in blocks.
     band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
@@ -314,8 +402,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     dealt = dealt.select("shingle", "t.tile", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "doc_id", "root", "n", "sig", "t.own", F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("diagonal"))
     copies = keep.agg(F.sum(F.col("rows") * F.when(F.col("blocks") > 1, 2 * F.col("blocks")).otherwise(1))).first()[0]
     groups = max(256, -(-(copies or 0) // GROUP_ROWS))
-    pairs = dealt.groupBy(F.pmod(F.xxhash64("shingle", "tile", "p", "q"), F.lit(groups)).alias("group")).applyInPandas(_tiles(percent), "a long, b long")
-    more = linked(possible(spool(pairs.distinct()), full, percent), docs, percent, words, log2_bits)
+    met_in = dealt.groupBy(F.pmod(F.xxhash64("shingle", "tile", "p", "q"), F.lit(groups)).alias("group"))
+    found = spool(met_in.applyInPandas(_tiles(percent, pairs_a_row), "shingle long, tile int, p int, q int, doc_id long, root long, n long, other long"))
+    pairs = found.where("doc_id < other").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
+    hits = found.where("doc_id = other").select(F.xxhash64("shingle", "tile", "p", "q").alias("key"), "doc_id", "root", "n")
+    more = linked(possible(spool(pairs), full, percent), docs, percent, words, log2_bits).unionByName(joining(hits, docs, percent, words, log2_bits, tile_shingles))
 
     roots = components(links.unionByName(more))
     classes = firsts.join(roots, firsts["first"] == roots["node"], "left").select("digest", F.coalesce("root", "first").alias("component_id"))
