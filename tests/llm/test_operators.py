@@ -74,6 +74,28 @@ def test_jaccard(spark, corpus, tile_rows, log2_bits):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(corpus)
 
 
+def python_in_a_task(plan, above=0):
+    """The most Python nodes of an executed plan that stand above each other within one task."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return python_in_a_task(plan.executedPlan(), above)
+    if "QueryStage" in name:
+        return max(above, python_in_a_task(plan.plan()))
+    above = 0 if "Exchange" in name else above + any(x in name for x in ("Python", "Pandas", "Arrow"))
+    return max([above, *(python_in_a_task(plan.children().apply(i), above) for i in range(plan.children().size()))])
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_jaccard_makes_and_checks_sets_in_tasks_of_their_own(spark, corpus, whole):
+    texts = dict(corpus)
+    sets = {i: set(jaccard.shingles(t, jaccard.WordHashes()).tolist()) for i, t in texts.items() if i is not None}
+    ids = [i for i in sets if sets[i]][:25]
+    pairs = [(a, b) for a in ids for b in ids if a < b]
+    got = jaccard.compared(jaccard.spool(spark.createDataFrame(pairs, "a long, b long")), jaccard.spool(docs(spark, corpus)), 80, 5, whole, 20)
+    assert sorted({(r["a"], r["b"]) for r in got.collect()}) == [(a, b) for a, b in sorted(pairs) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert python_in_a_task(got._jdf.queryExecution().executedPlan()) == 1
+
+
 def test_jaccard_empty(spark):
     assert jaccard.near_duplicates(docs(spark, [])).collect() == []
     assert [tuple(r) for r in jaccard.near_duplicates(docs(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]

@@ -123,8 +123,9 @@ def compared(pairs: DataFrame, docs: DataFrame, percent: int, words: int, whole:
     """(a, b, spare) for the pairs (a, b) whose similarity reaches percent: bitmap bound first, then intersection of the sorted sets. spare: how many common shingles more than needed."""
     both = pairs
     for k in ("b", "a"):
-        sets = sets_of(docs, pairs.select(F.col(k).alias("id")).distinct(), words, whole, log2_bits)
-        both = both.join(sets.withColumnsRenamed({"doc_id": f"doc_id_{k}", "shingles": f"shingles_{k}"}), F.col(k) == F.col(f"doc_id_{k}"))
+        sets = sets_of(docs, pairs.select(F.col(k).alias("id")).distinct(), words, whole, log2_bits).withColumnsRenamed({"doc_id": f"doc_id_{k}", "shingles": f"shingles_{k}"})
+        # The last join shuffles small sides too: by broadcast, sets would be made and checked in one task, with two Python workers where there is memory for one.
+        both = both.join(sets.hint("merge") if k == "a" else sets, F.col(k) == F.col(f"doc_id_{k}"))
 
     def check(batches):
         for batch in slices(batches):
